@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Spellings that are treated as equal, and public licence texts and standard notices.
 EQUAL = (
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
-    ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("organisation", "organization"), ("favour", "favor"),
+    ("sublicence", "sublicense"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("organisation", "organization"), ("favour", "favor"),
     ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("whilst", "while"), ("wilful", "willful"),
     ("http", "https"),
 )

@@ -1,9 +1,10 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 A token's probability is that of its class given the tokens before, times that of the token in its class. The class
-layer is a softmax over CLASSES classes whose features, hashed into tables of a fixed size, are the bigram and trigram
-context and a skip over the token before. Tasks train it by minibatch gradient updates on their own training
-documents, all of them; the tables are averaged row by row, weighted by how many tokens touched a row. The word layer
+layer is a softmax over CLASSES classes whose features, hashed into tables of a fixed size, are the token before, the
+classes of the three before, and a skip over the token before. Tasks train it by minibatch gradient updates on their
+own training documents, all of them; the expected counts of a gradient are those of one class drawn from the model for
+each token, without bias. The tables are averaged row by row, weighted by how many tokens touched a row. The word layer
 is a softmax with the word itself as its only feature, whose optimum with add-one smoothing is the relative
 frequency, so it takes the exact counts of all training words. Scoring is by numpy over sparse rows of the tables.
 
@@ -25,15 +26,16 @@ from pyspark.sql import functions as F
 from surveyloom.llm.common import Memo, arrow, crc_mod, parts, staged, sum_parts, text_bytes
 
 #: Class 0 is the end token's alone. Rows of each feature's table. Most words that go to the tasks.
-CLASSES, ROWS, HEAD = 32, 1 << 12, 1 << 18
-FEATURES, BATCH, RATE = 3, 16_384, 0.5
+CLASSES, ROWS, HEAD = 64, 1 << 12, 1 << 18
+#: Features; tokens of a minibatch; step and what each squared gradient sum begins at.
+FEATURES, BATCH, RATE, DAMP, SEED = 3, 32_768, 0.3, 25.0, 5
 MOD, HELD = 7, 2
 TABLE = FEATURES * ROWS + 1
 
 
 def word_class(word: bytes) -> int:
-    """By the first two bytes and the last: what languages and kinds of text differ in."""
-    return zlib.crc32(word[:2] + word[-1:]) % (CLASSES - 1) + 1
+    """By the first two bytes: what languages and kinds of text differ in."""
+    return zlib.crc32(word[:2]) % (CLASSES - 1) + 1
 
 
 def _code(word: bytes) -> int:
@@ -48,49 +50,51 @@ def encoded(text: bytes, memo: Memo) -> tuple[list[bytes], np.ndarray]:
     return words, out
 
 
+BEFORE = 3
+
+
 def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, FEATURES) rows of the table, and classes, of documents one after the other."""
-    pad = np.full(2, -1)
+    pad = np.full(BEFORE, -1)
     flat = np.concatenate([x for c in codes for x in (pad, c)])
     word, cls = flat // CLASSES, flat % CLASSES
-    one, two = word[1:-1], word[:-2]
     real = np.ones(len(flat), dtype=bool)
-    ends = np.cumsum([len(c) + 2 for c in codes])
-    starts = np.concatenate([[0], ends[:-1]])
-    real[starts] = real[starts + 1] = False
+    starts = np.concatenate([[0], np.cumsum([len(c) + BEFORE for c in codes])[:-1]])
+    for k in range(BEFORE):
+        real[starts + k] = False
+    one, two = word[2:-1], word[1:-2]
+    three = (cls[2:-1] * CLASSES + cls[1:-2]) * CLASSES + cls[:-3]
     mix = np.uint64(0x9E3779B97F4A7C15)
-    h = [(x.astype(np.uint64) * mix >> np.uint64(52)).astype(np.int64) % ROWS + i * ROWS for i, x in enumerate((one, one * 0x10001 + two * 0x2F0F + 7, two))]
-    return np.stack(h, axis=1)[real[2:]], cls[real]
+    h = [(x.astype(np.uint64) * mix >> np.uint64(52)).astype(np.int64) % ROWS + i * ROWS for i, x in enumerate((one, three + 99, two))]
+    return np.stack(h, axis=1)[real[BEFORE:]], cls[real]
 
 
-def class_log_probs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(tokens, CLASSES) natural logarithms."""
+def _scores(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = table[rows[:, 0]]
     for i in range(1, FEATURES):
         z += table[rows[:, i]]
     z += table[-1]
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def class_log_probs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(tokens, CLASSES) natural logarithms."""
+    z = _scores(table, rows)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def update(table: np.ndarray, seen: np.ndarray, power: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
-    """One minibatch: each row moves along its summed gradient, scaled by the root of its squared gradients so far."""
-    g = np.exp(class_log_probs(table, rows))
-    g[np.arange(len(cls)), cls] -= 1
-    for i in range(FEATURES):
-        order = np.argsort(rows[:, i].astype(np.uint16) if TABLE < 1 << 16 else rows[:, i], kind="stable")
-        r = rows[order, i]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        total = np.add.reduceat(g[order], first, axis=0)
-        at = r[first]
-        power[at] += (total**2).mean(1)
-        seen[at] += np.diff(np.concatenate([first, [len(r)]]))
-        table[at] -= RATE * total / np.sqrt(power[at] + 1e-6)[:, None]
-    total = g.sum(0)
-    power[-1] += (total**2).mean()
-    seen[-1] += len(cls)
-    table[-1] -= RATE * 0.1 * total / np.sqrt(power[-1] + 1e-6)
+def update(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray, rng: np.random.Generator) -> None:
+    """One minibatch: drawn less observed counts, scaled by the root of the squares so far."""
+    upto = np.cumsum(np.exp(_scores(table, rows)), axis=1)
+    drawn = np.minimum((upto < rng.random((len(cls), 1), dtype=np.float32) * upto[:, -1:]).sum(1), CLASSES - 1)
+    touched = np.concatenate([rows, np.full((len(rows), 1), TABLE - 1)], axis=1)
+    g = np.bincount((touched * CLASSES + drawn[:, None]).ravel(), minlength=table.size) - np.bincount((touched * CLASSES + cls[:, None]).ravel(), minlength=table.size)
+    g = g.reshape(table.shape).astype(np.float32)
+    power += g * g
+    table -= RATE * g / np.sqrt(power)
+    seen += np.bincount(touched.ravel(), minlength=TABLE)
 
 
 def word_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -123,8 +127,7 @@ def word_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def class_column(word: Column) -> Column:
     """word_class of a binary column."""
-    ends = F.concat(F.substring(word, 1, 2), F.when(F.octet_length(word) > 0, F.substring(word, -1, 1)).otherwise(word))
-    return F.crc32(ends) % (CLASSES - 1) + 1
+    return F.crc32(F.substring(word, 1, 2)) % (CLASSES - 1) + 1
 
 
 def train(docs: DataFrame, text_col: str, id_col: str, prior: np.ndarray) -> np.ndarray:
@@ -134,22 +137,24 @@ def train(docs: DataFrame, text_col: str, id_col: str, prior: np.ndarray) -> np.
     start[-1] = np.log(prior)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table = Memo(_code), start.copy()
-        seen, power = np.zeros(TABLE), np.zeros(TABLE, dtype=np.float32)
+        memo, table, rng = Memo(_code), start.copy(), np.random.default_rng(SEED)
+        seen, power = np.zeros(TABLE), np.full(table.shape, DAMP, dtype=np.float32)
         held, n = [], 0
+
+        def step() -> None:
+            rows, cls = features(held)
+            for i in range(0, len(cls), BATCH):
+                update(table, power, seen, rows[i : i + BATCH], cls[i : i + BATCH], rng)
+
         for batch in batches:
             for t in batch.column(0):
                 held.append(encoded(t.as_py(), memo)[1])
                 n += len(held[-1])
-                if n >= 8 * BATCH:
-                    rows, cls = features(held)
-                    for i in range(0, len(cls), BATCH):
-                        update(table, seen, power, rows[i : i + BATCH], cls[i : i + BATCH])
+                if n >= BATCH:
+                    step()
                     held, n = [], 0
         if held:
-            rows, cls = features(held)
-            for i in range(0, len(cls), BATCH):
-                update(table, seen, power, rows[i : i + BATCH], cls[i : i + BATCH])
+            step()
         moved = (table - start).astype(np.float64) * seen[:, None]
         yield from parts(np.concatenate([moved.ravel(), seen]))
 
