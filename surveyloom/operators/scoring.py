@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from surveyloom.functions.instrument import SURVEY, TIERS, Domain, Instrument
 
 
+def with_totals(table: DataFrame, instrument: Instrument = SURVEY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns and each domain's total as `_domain`. Scores and tiers refer to these columns, not to ten items
+    at each mention, which keeps the generated code small."""
+    return table.select(*keep, *(d.total().cast("int").alias(f"_{d.name}") for d in instrument.domains))
+
+
 def score_table(table: DataFrame, instrument: Instrument = SURVEY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Seven scores and tiers beside the kept columns, in one projection. A missing item makes its own domain null."""
+    """Seven scores and tiers beside the kept columns. A missing item makes its own domain null."""
     made: list[Column] = []
     for d in instrument.domains:
-        made += [d.score_of(d.total()).alias(d.score_column), d.tier_of(d.total()).alias(d.tier_column)]
-    return table.select(*keep, *made)
+        total = F.col(f"_{d.name}")
+        made += [d.score_of(total).alias(d.score_column), d.tier_of(total).alias(d.tier_column)]
+    return with_totals(table, instrument, keep).select(*keep, *made)
 
 
 def long_scores(table: DataFrame, instrument: Instrument = SURVEY, keep: tuple[str, ...] = ()) -> DataFrame:
     """(kept, domain, total, tier): one row for each row and domain."""
-    each = F.array(*(F.struct(F.lit(d.name).alias("domain"), d.total().cast("int").alias("total"), d.tier_of(d.total()).alias("tier")) for d in instrument.domains))
-    return table.select(*keep, F.explode(each).alias("d")).select(*keep, "d.*")
+    each = F.array(*(F.struct(F.lit(d.name).alias("domain"), F.col(f"_{d.name}").alias("total"), d.tier_of(F.col(f"_{d.name}")).alias("tier")) for d in instrument.domains))
+    return with_totals(table, instrument, keep).select(*keep, F.explode(each).alias("d")).select(*keep, "d.*")
 
 
 def bad_item(column: str, top: int, allow_missing: bool) -> Column:

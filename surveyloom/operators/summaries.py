@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from surveyloom.functions.instrument import SURVEY, TIERS, Instrument
 from surveyloom.functions.scalars import age_bin, half_even, probit
 from surveyloom.operators.ranking import average_ranks
-from surveyloom.operators.scoring import long_scores, score_table
+from surveyloom.operators.scoring import long_scores, score_table, with_totals
 
 #: Edges of the age histogram: the last bin is open above at 52.
 AGE_EDGES = (18, 19, 20, 21, 23, 52)
@@ -21,8 +21,8 @@ def tier_prevalence(table: DataFrame, instrument: Instrument = SURVEY) -> DataFr
     """(domain, tier, n, share, percent) for all five tiers: share among scored rows, percent among all rows.
 
     Conditional sums in one pass; the one row that they make is turned."""
-    flags = {(d, t): F.count_if(F.coalesce(d.tier_of(d.total()) == t, F.lit(False))) for d in instrument.domains for t in TIERS}
-    wide = table.agg(F.count("*").alias("all"), *(x.alias(f"{d.name}|{t}") for (d, t), x in flags.items()))
+    flags = {(d, t): F.count_if(F.coalesce(d.tier_number(F.col(f"_{d.name}")) == int(t[-1]), F.lit(False))) for d in instrument.domains for t in TIERS}
+    wide = with_totals(table, instrument).agg(F.count("*").alias("all"), *(x.alias(f"{d.name}|{t}") for (d, t), x in flags.items()))
     each = F.array(*(F.struct(F.lit(d.name).alias("domain"), F.lit(t).alias("tier"), F.col(f"`{d.name}|{t}`").alias("n"), _sum([F.col(f"`{d.name}|{u}`") for u in TIERS]).alias("scored")) for d, t in flags))
     rows = wide.select("all", F.explode(each).alias("r"))
     return rows.select("r.domain", "r.tier", "r.n", F.try_divide(F.col("r.n").cast("double"), "r.scored").alias("share"), F.try_divide(F.col("r.n") * 100.0, "all").alias("percent"))
@@ -84,10 +84,8 @@ def rank_correlation(table: DataFrame, instrument: Instrument = SURVEY, transfor
     """(a, b, r) of each pair of domains: Pearson of the normal scores of average ranks, or of the ranks themselves.
 
     Ranks come from counts of scores, at most 41 a domain, and go back as a map: rows aren't shuffled."""
-    complete = score_table(table, instrument)
-    for d in instrument.domains:
-        complete = complete.where(F.col(d.score_column).isNotNull())
-    long = complete.select(F.explode(F.array(*(F.struct(F.lit(d.name).alias("domain"), F.round(F.col(d.score_column) * (d.n_items if d.mean else 1)).cast("int").alias("total")) for d in instrument.domains))).alias("d")).select("d.*")
+    complete = with_totals(table, instrument).dropna()
+    long = complete.select(F.explode(F.array(*(F.struct(F.lit(d.name).alias("domain"), F.col(f"_{d.name}").alias("total")) for d in instrument.domains))).alias("d")).select("d.*")
     ranks = average_ranks(long, ["domain"], "total")
     if transform:
         n = F.sum("n").over(Window.partitionBy("domain"))
@@ -100,7 +98,7 @@ def rank_correlation(table: DataFrame, instrument: Instrument = SURVEY, transfor
     columns = []
     for d in instrument.domains:
         pairs = [F.lit(x) for (name, t), z in sorted(found.items()) if name == d.name for x in (t, z)]
-        columns.append(F.create_map(*pairs)[F.round(F.col(d.score_column) * (d.n_items if d.mean else 1)).cast("int")].alias(d.name))
+        columns.append(F.create_map(*pairs)[F.col(f"_{d.name}")].alias(d.name))
     z = complete.select(*columns)
     names = instrument.names
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
