@@ -201,9 +201,9 @@ def found_in(indexes: list[Index], texts: list[str | None]) -> list[list[tuple[i
         if not index.ids:
             continue
         step = index.longest
-        count = np.array([max(1, -(-len(w) // step)) for w in split])
+        count = np.array([max(1, -(-len(w) // step)) for w in split], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(count)])
-        lengths = np.array([len(w) for w in split])
+        lengths = np.array([len(w) for w in split], dtype=np.int64)
         ids = np.fromiter((x for w in split for x in map(index.terms.get, w, repeat(-1))), dtype=np.int64, count=int(lengths.sum()))
         start = np.concatenate([[0], np.cumsum(lengths)])
         place = np.arange(len(ids)) - np.repeat(start[:-1], lengths)
@@ -269,7 +269,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     if size >= BATCH_CHARS:
                         yield rows(ids, found_in(sent.value, texts))
                         ids, texts, size = [], [], 0
-                yield rows(ids, found_in(sent.value, texts))
+                if ids:
+                    yield rows(ids, found_in(sent.value, texts))
 
         def rows(ids: list, found: list) -> pa.RecordBatch:
             flat = [(d, *r) for d, x in zip(ids, found, strict=True) for r in x]
