@@ -640,7 +640,7 @@ def logreg_utility(spark, sf_dir):
 @query()
 def boost_utility(spark, sf_dir):
     real, _ = halves(cohort(spark, sf_dir))
-    return models.utility(real, None, ("boosting",), ["panic"], folds=3)
+    return models.utility(real, None, ("shallow boosting",), ["panic"], folds=3)
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
