@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +86,27 @@ def class_log_probs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+#: Tokens whose class scores are held at once: they fit a core's cache.
+SLICE = 4096
+
+
+def own_log_probs(table: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each token's own class."""
+    out = np.empty(len(cls))
+    for i in range(0, len(cls), SLICE):
+        z, c = _scores(table, rows[i : i + SLICE]), cls[i : i + SLICE]
+        own = z[np.arange(len(c)), c]
+        out[i : i + SLICE] = own - np.log(np.exp(z, out=z).sum(1))
+    return out
+
+
 def update(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray, rng: np.random.Generator) -> None:
     """One minibatch: drawn less observed counts, scaled by the root of the squares so far."""
-    upto = np.cumsum(np.exp(_scores(table, rows)), axis=1)
-    drawn = np.minimum((upto < rng.random((len(cls), 1), dtype=np.float32) * upto[:, -1:]).sum(1), CLASSES - 1)
+    drawn = np.empty(len(cls), dtype=np.int64)
+    for i in range(0, len(cls), SLICE):
+        z = _scores(table, rows[i : i + SLICE])
+        upto = np.cumsum(np.exp(z, out=z), axis=1)
+        drawn[i : i + SLICE] = np.minimum((upto < rng.random((len(z), 1), dtype=np.float32) * upto[:, -1:]).sum(1), CLASSES - 1)
     touched = np.concatenate([rows, np.full((len(rows), 1), TABLE - 1)], axis=1)
     g = np.bincount((touched * CLASSES + drawn[:, None]).ravel(), minlength=table.size) - np.bincount((touched * CLASSES + cls[:, None]).ravel(), minlength=table.size)
     g = g.reshape(table.shape).astype(np.float32)
@@ -203,41 +221,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, table, gain = sent.value
-        logs: dict[int, float] = {}
         memo = Memo(_code)
-        tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         end_log = np.log10((end + 1) / below)
 
-        def log_of(c: int) -> float:
-            if c not in logs:
-                logs[c] = float(np.log10((c + 1) / below))
-            return logs[c]
-
         def rows(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            codes, base, seen, tails, sizes = [], [], [], [], []
+            codes, base, seen, sizes = [], [], [], []
+            tail_words, tail_n, tail_ends = [], [], [0]
             for t in texts:
                 words, code = encoded(t, memo)
                 codes.append(code)
                 sizes.append(len(code))
-                b, k, tail = end_log, int(end > 0), []
-                for w, n in Counter(words).items():
-                    c = head.get(w)
-                    if c is None:
-                        tail.append({"word": w, "n": n})
-                    else:
-                        b += n * log_of(c)
-                        k += n * (c > 0)
-                base.append(b)
-                seen.append(k)
-                tails.append(tail)
+                c = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                common = c[c >= 0]
+                base.append(end_log + np.log10((common + 1) / below).sum())
+                seen.append(int(end > 0) + int((common > 0).sum()))
+                rare = Counter(compress(words, (c < 0).tolist()))
+                tail_words += rare
+                tail_n += rare.values()
+                tail_ends.append(len(tail_words))
             at, cls = features(codes)
-            each = np.empty(len(cls))
-            for i in range(0, len(cls), BATCH):
-                p = class_log_probs(table, at[i : i + BATCH])
-                each[i : i + BATCH] = p[np.arange(len(p)), cls[i : i + BATCH]]
-            each = each / np.log(10) + gain[cls]
+            each = own_log_probs(table, at, cls) / np.log(10) + gain[cls]
             more = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            return arrow({"row": ([r for r, _ in ids], pa.int64()), "doc_id": ([d for _, d in ids], pa.int64()), "n_tokens": (sizes, pa.int64()), "known": (seen, pa.int64()), "base": (base, pa.float64()), "more": (more, pa.float64()), "tail": (tails, tail_kind)})
+            pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], names=["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
+            return arrow({"row": ([r for r, _ in ids], pa.int64()), "doc_id": ([d for _, d in ids], pa.int64()), "n_tokens": (sizes, pa.int64()), "known": (seen, pa.int64()), "base": (base, pa.float64()), "more": (more, pa.float64()), "tail": (tails, tails.type)})
 
         for batch in batches:
             ids, texts, size = [], [], 0
