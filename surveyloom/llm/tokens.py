@@ -10,12 +10,14 @@ lost is run again and leaves nothing behind. The dictionary is a table of one ro
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import Memo, arrow, shared_path
+from surveyloom.llm.common import arrow, shared_path
 
 MAGIC, VERSION = b"SLTOKENS", 1
 #: magic, version, bytes of an id, documents, tokens of the part before this segment, dictionary hash
@@ -34,6 +36,8 @@ ROWS_A_PART = 20_000
 
 _SPACES = re.compile(r"[ \n]\s")
 _BEFORE = re.compile(r"(?=[ \n]\S)")
+#: A piece of a line feed, a word of Latin letters, and marks.
+_PARTS = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @lru_cache(maxsize=2)
@@ -49,30 +53,82 @@ def _tokenizer(file: str):
 class Encoder:
     """The ids of whole texts by a byte-level tokenizer of the tokenizers library, as serialised arrays.
 
-    Its pre-tokens never reach over the start of a blank or line feed that precedes something else, so a text is cut
-    there and each distinct piece is given to the library once, as long as the bounded memo holds it.
-    `whole` turns that off: for tokenizers with another way of cutting.
+    Its pre-tokens never reach over the start of a blank or line feed that precedes something else, nor from Latin
+    letters into ASCII marks other than the apostrophe. So a text is cut into pieces, a piece into words and marks, and
+    each distinct one is given to the library once, as long as the bounded memos hold it; words that begin with a
+    blank are given to it many at a time. `whole` turns that off: for tokenizers with another way of cutting.
     """
 
+    MOST = 500_000
+
     def __init__(self, file: str, end_id: int | None = END_ID, whole: bool = False):
         self.tokenizer, self.whole = _tokenizer(file), whole
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.memo = Memo(self._ids, 250_000)
-
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         if "<|" in text or self.whole:  # an added token might hold a blank
             return [text]
         if "\0" in text or _SPACES.search(text):
             return _BEFORE.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> Iterator[bytes]:
+        """Of words of a blank and letters: each is one pre-token of their concatenation."""
+        size = self.kind.itemsize
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            made = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, cut = np.array(made.ids, self.kind).tobytes(), np.searchsorted(np.array(made.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * size
+            yield from (ids[a:b] for a, b in pairwise(cut.tolist()))
+
+    def _learn(self, pieces: set[str]) -> None:
+        parts = {p: m.groups("") for p in pieces if (m := _PARTS.fullmatch(p))}
+        new = set().union(*parts.values())
+        new.discard("")
+        if len(self.words) > self.MOST:
+            self.words.clear()
+        new = new.difference(self.words)
+        spaced = [w for w in new if w[0] == " "]
+        self.words.update(zip(spaced, self._spaced(spaced), strict=True))
+        other = [w for w in new if w[0] != " "]
+        self.words.update(zip(other, self._library(other), strict=True))
+        words = self.words
+        words[""] = b""
+        self.pieces.update((p, words[a] + words[b] + words[c]) for p, (a, b, c) in parts.items())
+        rest = [p for p in pieces if p not in parts]
+        self.pieces.update(zip(rest, self._library(rest), strict=True))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # the memos hold a million strings and no cycles: walking them takes longer than encoding
+        cut = [self._cut(t) for t in texts]
+        need = set().union(*cut)
+        if len(self.pieces) > self.MOST:
+            self.pieces.clear()
+        self._learn(need.difference(self.pieces))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, p)) + self.end for p in cut]
+
     def __call__(self, text: str) -> bytes:
-        get = self.memo.__getitem__
-        return b"".join(map(get, self._pieces(text))) + self.end
+        return self.many([text])[0]
+
+
+def _some(batch: pa.RecordBatch, column: int, chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, null as empty, of some hundred thousand characters each."""
+    texts, held, start = [], 0, 0
+    for i, t in enumerate(batch.column(column)):
+        texts.append(t.as_py() or "")
+        held += len(texts[-1])
+        if held >= chars:
+            yield batch.slice(start, i + 1 - start), texts
+            texts, held, start = [], 0, i + 1
+    if texts:
+        yield batch.slice(start), texts
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -128,8 +184,7 @@ def sample_ids(docs: DataFrame, file: str, end_id: int | None, rows: int, whole:
         encode = Encoder(file, end_id, whole)
         for batch in batches:
             out = []
-            for t in batch.column(0):
-                ids = encode(t.as_py() or "")
+            for ids in (x for _, texts in _some(batch, 0) for x in encode.many(texts)):
                 at = range(0, len(ids), PIECE_BYTES)
                 out += [ids[i : i + PIECE_BYTES] for i in at[:: max(1, len(at) // SAMPLE_PIECES)][:SAMPLE_PIECES]]
             yield arrow({"piece": (out, pa.binary())})
@@ -181,10 +236,9 @@ def write_tokens(docs: DataFrame, file: str, path: str, end_id: int | None = END
         to_ids = Encoder(file, end_id, whole)
         codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary))
         for batch in batches:
-            for some in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for some, texts in _some(batch, 3):
                 counts, frames = [], []
-                for t in some.column(3):
-                    ids = to_ids(t.as_py() or "")
+                for ids in to_ids.many(texts):
                     counts.append(len(ids) // width)
                     frames.append(codec.compress(ids))
                 yield arrow({"part": (some.column(0), pa.int32()), "place": (some.column(1), pa.int64()), "doc_id": (some.column(2), pa.int64()), "n": (counts, pa.int32()), "frame": (frames, pa.binary())})

@@ -195,7 +195,7 @@ def test_tokens_odd(spark, odd, none):
 @pytest.mark.parametrize("seed", range(4))
 def test_pieces_give_the_same_ids(seed):
     rng = random.Random(seed)
-    bits = ["a", "Wort", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "😀", "1234", "...", "<|endoftext|>", "\0", " ", " ", "'ll", "x.y", "\x1c", "\x85"]
+    bits = ["a", "Wort", "don't", "Éa,", "'s", "(x)", "wörtlich.", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "😀", "1234", "...", "<|endoftext|>", "\0", " ", " ", "'ll", "x.y", "\x1c", "\x85"]
     encode = tokens.Encoder(tokens.tokenizer_file(), None)
     for _ in range(1500):
         text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
