@@ -1,17 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in the order of a hash of their id, are cut into blocks. A source with the share q/Q of the
-slots releases its j-th block at floor((j - 1) Q / q) and must have it placed by ceil(j Q / q); earliest deadline
-first places one block in every slot, and the number of a source's blocks in the first t slots differs from t q/Q
-by less than one. Where a source has no block left a new phase begins, in which the others' weights share the slots.
-A phase's schedule repeats after Q slots, so the driver makes Q slots of it and a block's slot is arithmetic on its
-rank: what the driver holds depends on the number of sources (bounded, see GROUPS), not of documents.
+Each source's documents, in the order of a hash of their id, are cut into blocks. While no source has run out, one
+with the share w of the weights has had w t of the first t slots; it releases its j-th block in the slot where that
+passes j - 1 and must have it placed by the end of the one where it reaches j. Earliest deadline first places one block
+in every slot, and the number of a source's blocks in the first t slots differs from w t by less than one, however
+many slots there are. Where a source has no block left a new phase begins, in which the others' weights share the slots.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,43 +35,72 @@ def quotas(weights: list[float], slots: int) -> list[int]:
     return out
 
 
-def edf(shares: list[int]) -> list[list[int]]:
-    """Slots of each source over one period of sum(shares) slots."""
-    period = sum(shares)
-    slots: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, s) for s in range(len(shares))]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    for t in range(period):
+def placed(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, phase) of slot 0, 1, ... until all blocks are placed.
+
+    Exact in integers: at virtual time v a source with the weight w has had min(blocks, v w) slots, of sum(that) in
+    all. A phase is what lies between two ends of sources. Holds a few numbers for each source, none for a block.
+    """
+    ratios = {s: float(weights[s]).as_integer_ratio() for s, n in enumerate(blocks) if n}
+    unit = max((d for _, d in ratios.values()), default=1)  # a power of two, as the others are
+    whole = {s: n * (unit // d) for s, (n, d) in ratios.items()}
+    ends: list[Fraction] = []  # virtual times
+    gone, active = [0], [sum(whole.values())]  # before each end: slots of the sources that have ended, weight of the others
+    for end, s in sorted((Fraction(blocks[s], w), s) for s, w in whole.items()):
+        if not ends or ends[-1] != end:
+            ends.append(end)
+            gone.append(gone[-1])
+            active.append(active[-1])
+        gone[-1] += blocks[s]
+        active[-1] -= whole[s]
+    tops, bottoms, phase = [e.numerator for e in ends], [e.denominator for e in ends], dict.fromkeys(whole, 0)
+
+    def due(s: int, j: int) -> int:
+        """The slot by whose end source s has had j blocks; the phase of the j-th is set on the way."""
+        w, low, step = whole[s], phase[s], 1
+        while tops[min(low + step, len(tops)) - 1] * w < j * bottoms[min(low + step, len(tops)) - 1]:
+            low, step = low + step, 2 * step
+        high = min(low + step, len(tops)) - 1
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if tops[mid] * w < j * bottoms[mid] else (low, mid)
+        phase[s] = low
+        return -((-gone[low] * w - j * active[low]) // w)
+
+    def release(s: int, j: int) -> int:
+        """The slot within which source s has had j blocks, in the phase that due(s, j) has found."""
+        return gone[phase[s]] + j * active[phase[s]] // whole[s]
+
+    done = dict.fromkeys(whole, 0)
+    waiting, ready = [(0, s) for s in whole], []
+    for t in range(sum(blocks)):
         while waiting and waiting[0][0] <= t:
             s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // shares[s]), s))
+            heapq.heappush(ready, (due(s, done[s] + 1), s))
         s = heapq.heappop(ready)[1]
+        yield s, done[s], phase[s]
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (release(s, done[s]), s))
+
+
+def edf(shares: list[int]) -> list[list[int]]:
+    """Slots of each source over one period of sum(shares) slots."""
+    slots: list[list[int]] = [[] for _ in shares]
+    for t, (s, _, _) in enumerate(placed(shares, shares)):
         slots[s].append(t)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // shares[s], s))
     return slots
 
 
 def schedule(blocks: list[int], weights: list[float]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, phase, first block, end block, first slot, period, slots in a period) until all blocks are placed."""
-    left = {s: n for s, n in enumerate(blocks) if n}
-    done, at, phase, out = dict.fromkeys(left, 0), 0, 0, []
-    while left:
-        active = sorted(left)
-        period = max(256, 4 * len(active)) if len(active) > 1 else 1
-        pattern = dict(zip(active, edf(quotas([weights[s] for s in active], period)), strict=True))
-        # the phase ends behind the slot of the block with which the first source runs out
-        end = min((n - 1) // len(pattern[s]) * period + pattern[s][(n - 1) % len(pattern[s])] for s, n in left.items()) + 1
-        for s in active:
-            took = end // period * len(pattern[s]) + bisect_left(pattern[s], end % period)
-            if took:
-                out.append((s, phase, done[s], done[s] + took, at, period, pattern[s]))
-            done[s] += took
-            left[s] -= took
-        left = {s: n for s, n in left.items() if n}
-        at, phase = at + end, phase + 1
-    return out
+    """(source, phase, first block, end block, first slot, period, slots in a period) until all blocks are placed. The
+    weights' shares needn't be whole anywhere, so a period is a whole phase."""
+    slots: dict[tuple[int, int], list[int]] = {}
+    first: dict[tuple[int, int], int] = {}
+    for t, (s, b, phase) in enumerate(placed(blocks, weights)):
+        first.setdefault((s, phase), b)
+        slots.setdefault((s, phase), []).append(t)
+    return [(s, phase, first[s, phase], first[s, phase] + len(x), 0, sum(blocks), x) for (s, phase), x in sorted(slots.items())]
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source", keep: bool = False) -> DataFrame:
@@ -114,7 +143,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     ranked = ranked.withColumn("block", F.expr(f"rank div {int(block)}"))
 
     table = spark.createDataFrame([(totals[s]["group"], *rest) for s, *rest in plan], "g string, phase int, from_block long, end_block long, from_slot long, period int, slots array<int>")
-    # at most GROUPS sources and as many phases of at most 4 * GROUPS slots: 4 MB
+    # a number for each block
     found = ranked.join(F.broadcast(table), (F.col("group") == F.col("g")) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("end_block")))
     nth = F.col("block") - F.col("from_block")
     size = F.size("slots").cast("long")
