@@ -4,21 +4,28 @@ Each source's documents, in the order of a hash of their id, are cut into blocks
 with the share w of the weights has had w t of the first t slots; it releases its j-th block in the slot where that
 passes j - 1 and must have it placed by the end of the one where it reaches j. Earliest deadline first places one block
 in every slot, and the number of a source's blocks in the first t slots differs from w t by less than one, however
-many slots there are. Where a source has no block left a new phase begins, in which the others' weights share the slots.
+many slots there are. Where a source has no block left a new phase begins, in which the others' weights share the slots;
+a block counts to the phase that it is due in. One task makes the schedule from the sources' counts and weights: what
+it holds depends on the number of sources, not of documents, and the driver gets none of it.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_DOCS, GROUPS, TEMPER = 16, 512, 0.5
-RANGE_ROWS = 1 << 20
+from surveyloom.llm.common import arrow, staged
+
+BLOCK_DOCS, TEMPER = 16, 0.5
+RANGE_ROWS, RUN = 1 << 20, 1 << 14
+GROUPS = 512  # of no effect; tests set it
 
 
 def quotas(weights: list[float], slots: int) -> list[int]:
@@ -103,6 +110,19 @@ def schedule(blocks: list[int], weights: list[float]) -> list[tuple[int, int, in
     return [(s, phase, first[s, phase], first[s, phase] + len(x), 0, sum(blocks), x) for (s, phase), x in sorted(slots.items())]
 
 
+def _plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, block, phase, slot) of rows (source, blocks, weight), in runs of slots."""
+    names, blocks, weights = [], [], []
+    for batch in batches:
+        for held, column in zip((names, blocks, weights), batch.columns, strict=True):
+            held += column.to_pylist()
+    run, at = placed(blocks, weights), 0
+    while some := list(islice(run, RUN)):
+        s, b, phase = zip(*some, strict=True)
+        yield arrow({"source": ([names[i] for i in s], pa.string()), "block": (b, pa.int64()), "phase": (phase, pa.int32()), "slot": (list(range(at, at + len(s))), pa.int64())})
+        at += len(s)
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source", keep: bool = False) -> DataFrame:
     """(doc_id, source, block, phase, slot, position) for every row of docs, each exactly once.
 
@@ -110,45 +130,36 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     gaps). weights: target by source; without them, each source's number of documents to the power TEMPER, so large
     sources come less often than they would and go on after the small ones. A source missing in weights, or with one
     that isn't positive, gets the least positive weight. A null source counts as the empty one. Repeated rows and
-    null ids are placed like any other. More than GROUPS sources are scheduled as GROUPS hashed groups, whose weight
-    is the sum of their sources'. An empty table gives no rows. keep: adds the columns to all of docs' own instead, as
-    struct `mix`.
+    null ids are placed like any other. Any number of sources is scheduled, each by its own weight. An empty table
+    gives no rows. keep: adds the columns to all of docs' own instead, as struct `mix`.
     """
-    spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep else F.lit(True)
     rows = docs.select(own.alias("row"), F.col(id_col).cast("long").alias("doc_id"), source.alias("source"))
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
-    if counts.limit(GROUPS + 1).count() > GROUPS:
-        group = F.concat(F.lit("group "), F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("string"))
-    else:
-        group = F.col("source")
-    rows = rows.withColumn("group", group)
+    counts = staged(rows.groupBy("source").agg(F.count("*").alias("n")), "sources")
     named = [F.lit(x) for kv in (weights or {}).items() for x in kv]
     target = (F.create_map(*named)[F.col("source")] if named else F.pow("n", F.lit(TEMPER))).cast("double")
-    totals = counts.withColumn("group", group).withColumn("w", target).groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w") > 0, F.col("w"))).alias("w")).orderBy("group").collect()
-    if not totals:
-        totals = []
-    least = min((r["w"] for r in totals if r["w"]), default=1.0)
-    plan = schedule([-(-r["n"] // block) for r in totals], [r["w"] or least for r in totals])
-
-    # rank within a group without gathering it: a hash orders it, its leading bits cut the order into ranges of a
+    target = F.when((target > 0) & (target < float("inf")), target)
+    total, least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.min(target), F.lit(1.0))).first()
+    shares = counts.select("source", F.ceil(F.col("n") / block).alias("blocks"), F.coalesce(target, F.lit(least)).alias("w"))
+    # one task goes through the slots and holds a few numbers a source; its input is a row a source, from which Spark
+    # would take its output for small and send it through the driver, but for the hint below
+    plan = shares.coalesce(1).sortWithinPartitions("source").mapInArrow(_plan, "source string, block long, phase int, slot long")
+
+    # rank within a source without gathering it: a hash orders it, its leading bits cut the order into ranges of a
     # bounded number of rows, counts of the ranges before give where a range begins
-    bits = min(40, (sum(r["n"] for r in totals) // RANGE_ROWS).bit_length() + 8)
+    bits = min(40, (total // RANGE_ROWS).bit_length() + 8)
     rows = rows.withColumn("key", F.xxhash64("doc_id")).withColumn("range", F.shiftrightunsigned("key", 64 - bits))
-    ranges = rows.groupBy("group", "range").agg(F.count("*").alias("n"))
-    before = ranges.select("group", "range", (F.sum("n").over(Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("group", "range").orderBy("key", "doc_id", "source")) - 1)
-    ranked = ranked.join(before, ["group", "range"]).withColumn("rank", F.col("before") + F.col("at"))
-    ranked = ranked.withColumn("block", F.expr(f"rank div {int(block)}"))
-
-    table = spark.createDataFrame([(totals[s]["group"], *rest) for s, *rest in plan], "g string, phase int, from_block long, end_block long, from_slot long, period int, slots array<int>")
-    # a number for each block
-    found = ranked.join(F.broadcast(table), (F.col("group") == F.col("g")) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("end_block")))
-    nth = F.col("block") - F.col("from_block")
-    size = F.size("slots").cast("long")
-    found = found.withColumn("slot", F.col("from_slot") + F.floor(nth / size).cast("long") * F.col("period") + F.get("slots", (nth % size).cast("int")))
-    found = found.withColumn("position", F.col("slot") * block + F.col("rank") % block)
+    ranges = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = ranges.select("source", "range", "n", (F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    # a range gets the slots of its blocks, so rows needn't be shuffled again to meet them
+    last = F.expr(f"(before + n - 1) div {int(block)}")
+    each = before.select("source", "range", "before", F.explode(F.sequence(F.expr(f"before div {int(block)}"), last)).alias("block"))
+    slots = each.join(plan.hint("merge"), ["source", "block"]).groupBy("source", "range").agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("block", "phase", "slot"))).alias("slots"))
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "source")) - 1)
+    found = ranked.join(slots, ["source", "range"]).withColumn("rank", F.col("before") + F.col("at"))
+    found = found.withColumn("own", F.expr(f"get(slots, cast(rank div {int(block)} - before div {int(block)} as int))"))
+    found = found.select("row", "doc_id", "source", "rank", "own.*").withColumn("position", F.col("slot") * block + F.col("rank") % block)
     made = ["block", "phase", "slot", "position"]
     if keep:
         return found.select("row.*", F.struct(*made).alias("mix"))
@@ -160,7 +171,8 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     it in the order of their names. Positions are dense but for short blocks, so they're dealt out evenly as they are."""
     names = [f"`{c}`" for c in docs.columns]
     made = mixed(docs, weights, keep=True)
-    top = docs.count() + BLOCK_DOCS * (GROUPS + 1)
+    blocks = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(""))).count().agg(F.sum(F.ceil(F.col("count") / BLOCK_DOCS))).first()[0]
+    top = BLOCK_DOCS * max(1, blocks or 0)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = -(-top // parts)
     return made.repartitionById(parts, F.floor(F.col("mix.position") / width).cast("int")).sortWithinPartitions("mix.position").select(*names)

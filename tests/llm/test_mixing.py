@@ -17,3 +17,18 @@ def test_deviation_stays_below_a_block(weights):
     for t in range(n):
         count[flat[t]] += 1
         assert all(abs(c - (t + 1) * w / sum(weights)) < 1 + 1e-9 for c, w in zip(count, weights, strict=True))
+
+
+def test_each_of_many_sources_has_its_own_weight(spark):
+    """600 sources, one of them with two thirds of the rows: each keeps to its own target to within a block."""
+    rows = [(i, "hot") for i in range(4800)] + [(10_000 + i, f"site{i % 599}") for i in range(4 * 599)]
+    weights = {"hot": 100.0} | {f"site{i}": 1.0 + i % 3 for i in range(599)}
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mixed(docs, weights, block=1).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == sorted(rows)
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+    total, count = sum(weights.values()), dict.fromkeys(weights, 0)
+    for t, r in enumerate(sorted(got, key=lambda r: r["slot"])[: int(4 / 3 * total)]):  # until the heaviest sites run out
+        count[r["source"]] += 1
+        assert all(abs(c - (t + 1) * weights[s] / total) < 1 + 1e-9 for s, c in count.items())
+    assert count["hot"] > 100
