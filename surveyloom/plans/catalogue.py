@@ -247,26 +247,26 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def hamming_pairs(spark, sf_dir):
-    return distance.pair_histogram(*sides(spark, sf_dir))
+    return distance.pair_histogram(*sides(spark, sf_dir), large=True)
 
 
 @query()
 def energy_distance(spark, sf_dir):
     c = codes(spark, sf_dir)
-    value = distance.energy_distance(c.where("src = 'real'"), c.where("src = 'synthetic'"), SURVEY.columns)
+    value = distance.energy_distance(c.where("src = 'real'"), c.where("src = 'synthetic'"), SURVEY.columns, large=True)
     return spark.createDataFrame([(value,)], "energy double")
 
 
 @query()
 def dcr_nndr(spark, sf_dir):
     real, synthetic = sides(spark, sf_dir)
-    return distance.proximity(distance.two_nearest(synthetic, real), len(SURVEY.columns))
+    return distance.proximity(distance.two_nearest(synthetic, real, large=True), len(SURVEY.columns))
 
 
 @query()
 def loo_proximity(spark, sf_dir):
     real, _ = sides(spark, sf_dir)
-    return distance.proximity(distance.two_nearest(real, real, leave_out=True), len(SURVEY.columns))
+    return distance.proximity(distance.two_nearest(real, real, leave_out=True, large=True), len(SURVEY.columns))
 
 
 # --- ranks and correlation ---
