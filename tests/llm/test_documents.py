@@ -195,7 +195,7 @@ def test_tokens_odd(spark, odd, none):
 @pytest.mark.parametrize("seed", range(4))
 def test_pieces_give_the_same_ids(seed):
     rng = random.Random(seed)
-    bits = ["a", "Wort", "don't", "Éa,", "'s", "(x)", "wörtlich.", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "😀", "1234", "...", "<|endoftext|>", "\0", " ", " ", "'ll", "x.y", "\x1c", "\x85"]
+    bits = ["a", "Wort", "don't", "Éa,", "'s", "(x)", "wörtlich.", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "×", "÷.", "Ã,", "\u3000", "“", "\nA", "?!", "_", "a_b.", "９.", "😀", "1234", "...", "<|endoftext|>", "\0", " ", " ", "'ll", "x.y", "\x1c", "\x85"]
     encode = tokens.Encoder(tokens.tokenizer_file(), None)
     for _ in range(1500):
         text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
@@ -213,6 +213,38 @@ def test_tokens_round_trip_and_access(spark, documents, texts):
         tokens.Segment(bytes(spark.read.parquet(f"{path}/segments").first()["data"]), b"x")
 
 
+def test_tokens_in_many_parts(spark, texts):
+    """5,000 documents, some with a repeated id, some with none, one with the least id that there is."""
+    rng, some = random.Random(4), sorted(texts.values(), key=len)[:200]
+    rows = [(rng.choice([None, 7, 8, i, i, i, i, i]), rng.choice(some)) for i in range(5000)] + [(-(1 << 63), "the least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    path = tokens.write_tokens(docs, tokens.tokenizer_file(), shared_path(spark, "t"))
+    parts = [r["part"] for r in spark.read.parquet(f"{path}/segments").select("part").collect()]
+    assert len(set(parts)) > 4
+    got = tokens.read_tokens(spark, path, "ids array<int>", lambda x: (x.tolist(),)).collect()
+    encode = tokens.Encoder(tokens.tokenizer_file())
+    ids = {t: tuple(encode.tokenizer.encode(t, add_special_tokens=False).ids) + (2,) for t in {t for _, t in rows}}
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((d, ids[t]) for d, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert (r["start"], r["n_tokens"]) == (at, len(r["ids"]))
+        at += len(r["ids"])
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    for d in (7, 4990, -(1 << 63), 10_000):
+        assert Counter(tuple(r["ids"]) for r in tokens.read_document(spark, path, d).collect()) == Counter(ids[t] for x, t in rows if x == d)
+
+
+def test_the_memo_may_be_full():
+    encode = tokens.Encoder(tokens.tokenizer_file())
+    encode.MOST = 50
+    rng = random.Random(1)
+    for _ in range(200):
+        text = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 3))) for _ in range(40))
+        assert np.frombuffer(encode(text), encode.kind).tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert len(encode.memo) + len(encode.older) < 300
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_schedule_keeps_to_the_weights(seed):
     rng = random.Random(seed)
