@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -159,6 +160,39 @@ def test_neighbours_recall(spark):
     assert np.mean([len({i for _, i in found[q]} & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
 
 
+def test_neighbours_over_many_tasks(spark, monkeypatch):
+    """12,000 vectors in clusters of very unequal density, a third of the rows copies of one, dealt in small ranges."""
+    rng = np.random.default_rng(3)
+    centres, spread = rng.normal(size=(30, 24)), rng.uniform(0.02, 1.5, 30)
+    which = rng.integers(0, 30, 8000)
+    x = centres[which] + rng.normal(size=(8000, 24)) * spread[which][:, None]
+    x = np.concatenate([x, np.tile(x[5], (4000, 1))])[rng.permutation(12_000)]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist()}))
+    monkeypatch.setattr(ann, "SHARD_ROWS", 256)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 16)
+    found, measured = defaultdict(list), {}
+    for r in ann.nearest(frame).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        measured[r["query_id"]] = r["n_measured"]
+    assert len(found) == 120
+    share = []
+    for q, got in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(12_000), d)).tolist() if i != q][:10]
+        assert [r for r, _, _ in sorted(got)] == list(range(1, 11))
+        assert all(abs(d[i] - s) < 1e-12 for _, i, s in got)
+        share.append(len({i for _, i, _ in got} & set(want)) / 10)
+    assert np.mean(share) >= 0.9
+    assert np.median(list(measured.values())) < 0.5 * 8001  # repeats in several trees included
+
+
+def test_neighbours_of_many_lengths(spark):
+    """More lengths than rows of one length: none is left out."""
+    rows = [(100 * n + i, [1.0] * n + [float(i)]) for n in range(1, 40) for i in range(2)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(100 * n, 1, 100 * n + 1, 1.0) for n in range(1, 40)]
+
+
 def test_neighbours_odd(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (None, [1.0, 0.0]), (8, [-3.0, 4.0]), (9, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.5]), (200, []), (300, [0.0, 0.0])]
