@@ -20,7 +20,7 @@ def repaired(matrix: list[list[float]]) -> tuple[np.ndarray, dict]:
     if m.ndim != 2 or m.shape[0] != m.shape[1] or not np.isfinite(m).all() or not np.allclose(m, m.T, atol=1e-12, rtol=0) or not np.allclose(np.diag(m), 1, atol=1e-12, rtol=0) or np.abs(m).max() > 1 + 1e-12:
         raise ValueError("not a correlation matrix")
     values, vectors = np.linalg.eigh(m)
-    about = {"min_eigenvalue": float(values.min()), "repaired": False}
+    about = {"min_eigenvalue": float(values.min()), "repaired": False, "largest_change": 0.0}
     if values.min() < -SLACK:
         raise ValueError("the correlation matrix is far from positive definite")
     if values.min() < LEAST:
@@ -28,7 +28,7 @@ def repaired(matrix: list[list[float]]) -> tuple[np.ndarray, dict]:
         scale = np.sqrt(np.diag(m))
         m = m / np.outer(scale, scale)
         np.fill_diagonal(m, 1.0)
-        about = about | {"repaired": True}
+        about = about | {"repaired": True, "largest_change": float(np.abs(m - np.array(matrix)).max())}
     return m, about
 
 
@@ -64,11 +64,12 @@ def category_at(u: Column, probabilities: dict) -> Column:
 
 
 def age_at(u_bin: Column, u_value: Column, bins: dict[tuple[int, int], float]) -> Column:
-    """An age: the bin at the first number, a whole year in it at the second."""
+    """An age: the bin at the first number, a whole year in it, both ends included, at the second. Null without bins."""
+    if not bins:
+        return F.lit(None).cast("int")
     low = category_at(u_bin, {a: p for (a, _), p in bins.items()})
-    width = category_at(u_bin, {f"{a}-{b}": p for (a, b), p in bins.items()})
-    size = F.create_map(*(F.lit(x) for a, b in bins for x in (f"{a}-{b}", b - a)))[width]
-    return (low + F.least(F.floor(u_value * size), size - 1)).cast("int")
+    years = F.create_map(*(F.lit(x) for a, b in bins for x in (a, b - a + 1)))[low]
+    return (low + F.least(F.floor(u_value * years), years - 1)).cast("int")
 
 
 def profiles(spark: SparkSession, summary: dict, n: int, seed: int, prevalences: dict[str, dict[str, float]] | None = None, dependence: str = "copula", instrument: Instrument = SURVEY) -> DataFrame:
@@ -93,7 +94,7 @@ def profiles(spark: SparkSession, summary: dict, n: int, seed: int, prevalences:
     rows = rows.withColumns({f"_u{i}": norm_cdf(_dot([(float(factor[i, j]), F.col(f"_z{j}")) for j in range(i + 1)])) for i in range(len(instrument.domains))})
     missing = uniform(seed, "missing", person) < s["age_missing_rate"]
     out = [
-        F.format_string("syn_aggregate_%05d", person).alias("patient_id"),
+        F.format_string("syn_aggregate_%05d", person + 1).alias("patient_id"),
         F.when(~missing, age_at(uniform(seed, "bin", person), uniform(seed, "age", person), s["age"])).alias("AGE"),
         category_at(uniform(seed, "sex", person), {1.0: s["sex"]["male"], 2.0: s["sex"]["female"]}).alias("SEX"),
     ]

@@ -14,8 +14,8 @@ def melted(wide: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 
 def condition(regime: Column, context: Column, dependence: Column) -> Column:
-    """'regime:context', with ':independent' where that is the dependence; a null context is 'own'."""
-    return F.concat_ws(":", regime, F.coalesce(context, F.lit("own")), F.when(dependence == "independent", F.lit("independent")))
+    """'regime:context', with ':independent' where that is the dependence; a null context is 'baseline'."""
+    return F.concat_ws(":", regime, F.coalesce(context, F.lit("baseline")), F.when(dependence == "independent", F.lit("independent")))
 
 
 def agreed_references(rows: DataFrame, identity: list[str], value: str = "value", within: float = 1e-12) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from surveyloom.functions.scalars import age_bin, half_even, probit
 from surveyloom.operators.ranking import average_ranks
 from surveyloom.operators.scoring import long_scores, score_table, with_totals
 
-#: Edges of the age histogram: the last bin is open above at 52.
+#: Edges of the age histogram; a bin ends a year before the next one begins, so the last year is 51.
 AGE_EDGES = (18, 19, 20, 21, 23, 52)
 
 
@@ -43,9 +45,10 @@ def sex_ratio(table: DataFrame, instrument: Instrument = SURVEY) -> DataFrame:
 
 
 def age_histogram(table: DataFrame, edges: tuple[int, ...] = AGE_EDGES, instrument: Instrument = SURVEY) -> DataFrame:
-    """(bin, n, share) over observed ages in [low, high); ages outside all bins are counted as 'outside'."""
+    """(bin, n, share) over observed ages, bins named by their first and last year; ages outside all bins are counted as
+    'outside'."""
     age = F.col(instrument.age)
-    bins = [(f"{a}-{b}", (age >= a) & (age < b)) for a, b in zip(edges, edges[1:], strict=False)]
+    bins = [(f"{a}-{b - 1}", (age >= a) & (age < b)) for a, b in zip(edges, edges[1:], strict=False)]
     wide = table.agg(F.count(age).alias("observed"), *(F.count_if(F.coalesce(x, F.lit(False))).alias(n) for n, x in [*bins, ("outside", (age < edges[0]) | (age >= edges[-1]))]))
     names = [*(n for n, _ in bins), "outside"]
     return wide.select("observed", F.explode(F.array(*(F.struct(F.lit(n).alias("bin"), F.col(f"`{n}`").alias("n")) for n in names))).alias("r")).select("r.*", F.try_divide(F.col("r.n").cast("double"), "observed").alias("share"))
@@ -143,10 +146,10 @@ def normalised(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def bin_overlap(labels: DataFrame, label: str = "bin") -> DataFrame:
-    """(bin, low, high, overlaps): whether a bin begins before the one below it ends."""
+    """(bin, low, high, overlaps): whether a bin begins no later than the year in which the one below it ends."""
     parsed = labels.select(F.col(label).alias("bin"), age_bin(F.col(label)).alias("b")).select("bin", "b.low", "b.high")
     w = Window.orderBy("low", "high")  # bins of one histogram, a handful
-    return parsed.withColumn("overlaps", F.coalesce(F.lag("high").over(w) > F.col("low"), F.lit(False)))
+    return parsed.withColumn("overlaps", F.coalesce(F.lag("high").over(w) >= F.col("low"), F.lit(False)))
 
 
 def checked_summary(summary: dict, instrument: Instrument = SURVEY) -> dict:
@@ -157,18 +160,24 @@ def checked_summary(summary: dict, instrument: Instrument = SURVEY) -> dict:
     if list(summary["disorders"]) != names:
         raise ValueError("other domains than the instrument's")
     matrix, _ = repaired(summary["correlation_probit_2dp"])
+    rate = summary.get("age_missing_rate", 0.0)
+    if isinstance(rate, bool) or not isinstance(rate, int | float) or not 0 <= rate <= 1:
+        raise ValueError("the rate of missing ages is not a probability")
+    histogram = summary.get("age_histogram")
+    if not isinstance(histogram, dict) or (not histogram and rate < 1):
+        raise ValueError("an age may be drawn, but there is no histogram")
     bins = {}
-    for label, p in probabilities(summary["age_histogram"], list(summary["age_histogram"])).items():
-        low, _, high = label.partition("-")
-        if not (low.strip().isdigit() and high.strip().isdigit() and int(low) < int(high)):
+    for label, p in probabilities(histogram, list(histogram)).items() if histogram else ():
+        ends = re.fullmatch("([0-9]+)-([0-9]+)", label)
+        if not ends or int(ends[1]) > int(ends[2]):
             raise ValueError(f"not an age bin: {label}")
-        bins[int(low), int(high)] = p
-    ordered = sorted(bins)
-    if any(a[1] > b[0] for a, b in zip(ordered, ordered[1:], strict=False)):
+        bins[int(ends[1]), int(ends[2])] = p
+    bins = dict(sorted(bins.items()))
+    if any(a[1] >= b[0] for a, b in pairwise(bins)):
         raise ValueError("age bins overlap")
-    rate = summary["age_missing_rate"]
-    if isinstance(rate, bool) or not 0 <= rate <= 1:
-        raise ValueError("the rate of missing ages is not a probability")
+    n = summary.get("n", 1)
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        raise ValueError("the number of people is not a positive whole number")
     return {"correlation": matrix, "tiers": {d: probabilities(summary["tier_prevalences"][d], TIERS) for d in names}, "sex": probabilities(summary["sex_ratio"], ("male", "female")), "age": bins, "age_missing_rate": float(rate)}
 
 

@@ -125,7 +125,7 @@ _BINS = list(zip(summaries.AGE_EDGES, summaries.AGE_EDGES[1:], strict=False))
 
 
 @query(
-    f"with cohort as ({COHORT}), b as (select * from (values " + ", ".join(f"('{a}-{b}', {a}, {b})" for a, b in _BINS) + ") v(bin, lo, hi)), counts as (select bin, count(ID) as n from b left join cohort on W1_age_r >= lo and W1_age_r < hi group by 1 union all select 'outside', count(*) from cohort where W1_age_r < 18 or W1_age_r >= 52) "
+    f"with cohort as ({COHORT}), b as (select * from (values " + ", ".join(f"('{a}-{b - 1}', {a}, {b})" for a, b in _BINS) + ") v(bin, lo, hi)), counts as (select bin, count(ID) as n from b left join cohort on W1_age_r >= lo and W1_age_r < hi group by 1 union all select 'outside', count(*) from cohort where W1_age_r < 18 or W1_age_r >= 52) "
     "select bin, n, round(n::double / (select count(W1_age_r) from cohort), 9) as share from counts"
 )
 def age_histogram(spark, sf_dir):
@@ -148,13 +148,13 @@ def probability_normalise(spark, sf_dir):
     return rounded(summaries.normalised(counts, ["o_orderpriority"], "n"))
 
 
-@query("with b as (select distinct (p_size // 5 * 4)::varchar || '-' || (p_size // 5 * 4 + 3 + p_size // 25 * 2)::varchar as bin from part), c as (select bin, split_part(bin, '-', 1)::int as low, split_part(bin, '-', 2)::int as high from b) select bin, low, high, coalesce(lag(high) over (order by low, high) > low, false) as overlaps from c")
+@query("with b as (select distinct (p_size // 5 * 4)::varchar || '-' || (p_size // 5 * 4 + 3 + p_size // 25 * 2)::varchar as bin from part), c as (select bin, split_part(bin, '-', 1)::int as low, split_part(bin, '-', 2)::int as high from b) select bin, low, high, coalesce(lag(high) over (order by low, high) >= low, false) as overlaps from c")
 def bin_overlap(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat(p_size div 5 * 4, '-', p_size div 5 * 4 + 3 + p_size div 25 * 2) as bin").distinct()
     return summaries.bin_overlap(labels)
 
 
-@query("with x as (select p_partkey, p_size::varchar || '-' || (p_size + p_partkey % 3 - 1)::varchar as label, p_size as lo, (p_size + p_partkey % 3 - 1)::int as hi from part) select p_partkey, label, case when hi > lo then lo::int end as low, case when hi > lo then hi end as high from x")
+@query("with x as (select p_partkey, p_size::varchar || '-' || (p_size + p_partkey % 3 - 1)::varchar as label, p_size as lo, (p_size + p_partkey % 3 - 1)::int as hi from part) select p_partkey, label, case when hi >= lo then lo::int end as low, case when hi >= lo then hi end as high from x")
 def age_bin_parse(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "concat(p_size, '-', p_size + p_partkey % 3 - 1) as label")
     return rows.withColumn("b", age_bin(F.col("label"))).select("p_partkey", "label", "b.low", "b.high")
@@ -330,10 +330,10 @@ def category_draw(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", copula.category_at(u, {"a": 0.25, "b": 0.0, "c": 0.5, "d": 0.25}).alias("category"))
 
 
-@query(f"with x as (select o_orderkey, {_U} as u, ((o_orderkey * 104729) % 10009) / 10009.0::double as v from orders) select o_orderkey, case when u < 0.5 then 18 + least(floor(v * 2)::int, 1) when u < 0.75 then 20 + least(floor(v * 5)::int, 4) else 25 + least(floor(v * 27)::int, 26) end as age from x")
+@query(f"with x as (select o_orderkey, {_U} as u, ((o_orderkey * 104729) % 10009) / 10009.0::double as v from orders) select o_orderkey, case when u < 0.25 then 18 when u < 0.5 then 19 + floor(v * 2)::int when u < 0.75 then 21 + floor(v * 2)::int else 23 + floor(v * 29)::int end as age from x")
 def age_draw(spark, sf_dir):
     u, v = F.expr("((o_orderkey * 7919) % 10007) / 10007.0D"), F.expr("((o_orderkey * 104729) % 10009) / 10009.0D")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", copula.age_at(u, v, {(18, 20): 0.5, (20, 25): 0.25, (25, 52): 0.25}).alias("age"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", copula.age_at(u, v, {(18, 18): 0.25, (19, 20): 0.25, (21, 22): 0.25, (23, 51): 0.25}).alias("age"))
 
 
 @query()
@@ -540,7 +540,7 @@ def mixed_cohorts(spark, sf_dir):
     return rows.groupBy("o_orderpriority").agg(F.count_distinct("o_orderstatus").alias("n_distinct")).withColumn("mixed", F.col("n_distinct") > 1)
 
 
-@query("select o_orderkey, 'r' || o_orderstatus || ':' || coalesce(case when o_custkey % 10 = 0 then null else 'c' || (o_custkey % 4) end, 'own') || case when o_custkey % 2 = 1 then ':independent' else '' end as condition from orders")
+@query("select o_orderkey, 'r' || o_orderstatus || ':' || coalesce(case when o_custkey % 10 = 0 then null else 'c' || (o_custkey % 4) end, 'baseline') || case when o_custkey % 2 = 1 then ':independent' else '' end as condition from orders")
 def condition_flags(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
     context = F.when(F.col("o_custkey") % 10 != 0, F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")))

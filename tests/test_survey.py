@@ -82,6 +82,7 @@ def test_profiles_follow_the_summary(spark, summary):
 def test_repair():
     m, about = copula.repaired([[1.0, 0.999, 0.0], [0.999, 1.0, 0.046], [0.0, 0.046, 1.0]])
     assert about["repaired"]
+    assert 0 < about["largest_change"] < 0.05
     assert np.linalg.eigvalsh(m).min() > 0
     for bad in ([[1, 2], [2, 1]], [[1, 0.5], [0.4, 1]], [[1.0, -0.9, -0.9], [-0.9, 1, -0.9], [-0.9, -0.9, 1]]):
         with pytest.raises(ValueError, match="correlation"):
@@ -101,6 +102,37 @@ def test_summary_rejections(summary):
             summaries.checked_summary(summary | change)
 
 
+CLOSED = {"18-18": 0.123, "19-19": 0.221, "20-20": 0.169, "21-22": 0.246, "23-51": 0.242}
+
+
+def test_bins_hold_both_ends(spark, summary):
+    assert list(summary["age_histogram"]) == list(CLOSED)
+    checked = summaries.checked_summary(summary | {"age_histogram": CLOSED})
+    assert list(checked["age"]) == [(18, 18), (19, 19), (20, 20), (21, 22), (23, 51)]
+    for bad in ({"18-19": 0.5, "19-20": 0.5}, {"20-19": 1.0}, {" 18-19": 1.0}, {"18-19\n": 1.0}, {}):
+        with pytest.raises(ValueError):
+            summaries.checked_summary(summary | {"age_histogram": bad})
+    rows = copula.profiles(spark, summary | {"age_histogram": CLOSED, "age_missing_rate": 0.0}, 4000, 5)
+    ages = {r["AGE"]: r["count"] / 4000 for r in rows.groupBy("AGE").count().collect()}
+    assert set(ages) == set(range(18, 52))
+    for (low, high), p in checked["age"].items():
+        assert abs(sum(ages[a] for a in range(low, high + 1)) - p) < 0.03
+    assert abs(ages[21] - ages[22]) < 0.03
+    assert rows.agg(F.min("patient_id"), F.max("patient_id")).first()[:] == ("syn_aggregate_00001", "syn_aggregate_04000")
+    nobody = copula.profiles(spark, summary | {"age_histogram": {}, "age_missing_rate": 1.0}, 50, 5)
+    assert nobody.where("AGE is not null").isEmpty()
+
+
+def test_bin_labels(spark):
+    labels = ["18-18", "18-23", "23-18", "18 - 23", "x", "18-", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "bin string")
+    got = {r["bin"]: (r["low"], r["high"], r["overlaps"]) for r in summaries.bin_overlap(rows.where("bin in ('18-18', '18-23')")).collect()}
+    assert got == {"18-18": (18, 18, False), "18-23": (18, 23, True)}
+    from surveyloom.functions.scalars import age_bin
+
+    assert [r["b"] and tuple(r["b"]) for r in rows.select(age_bin(F.col("bin")).alias("b")).collect()] == [(18, 18), (18, 23), None, None, None, None, None]
+
+
 def test_ranks_of_a_hot_group(spark):
     rows = spark.range(3000).selectExpr("id", "if(id < 2500, 'hot', 'cold') as g", "md5(cast(id as string)) as k")
     got = ranking.group_rank(rows, ["g"], "k", ["id"]).collect()
