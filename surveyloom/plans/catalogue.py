@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.instrument import SURVEY, TIERS
 from surveyloom.functions.scalars import age_bin, attempt_seed, fingerprint, half_even, last_part
-from surveyloom.operators import association, confusion, copula, distance, models, ranking, requests, resampling, results, scoring, summaries
+from surveyloom.operators import association, confusion, copula, distance, ranking, requests, resampling, results, scoring, summaries, utility
 from surveyloom.plans.cohort import cohort, cohort_sql, halves
 from surveyloom.streaming import journal
 
@@ -633,14 +633,35 @@ def instrument_fingerprint(spark, sf_dir):
 
 @query()
 def logreg_utility(spark, sf_dir):
+    """All seven domains and four protocols."""
     real, synthetic = halves(cohort(spark, sf_dir))
-    return models.utility(real, synthetic, ("logistic",), ["panic"], folds=3)
+    return utility.utility(real, {"odd": synthetic}, ("logistic",), folds=3, targeted={"odd": utility.ELIGIBLE}).drop("seconds")
+
+
+_JOBS = """, f as (select (row_number() over (partition by tier order by md5('42/0/' || ID), ID) - 1) % (select least(3, min(n)) from (select count(*) as n from long where domain = 'panic' and ID % 2 = 0 group by tier)) as fold from long where domain = 'panic' and ID % 2 = 0),
+t as (select fold, count(*) as test, (select count(*) from f) - count(*) as train from f group by 1)
+select 'panic' as domain, 0 as repeat, fold::int as fold, 'logistic' as classifier, run, protocol, ratio::double as ratio, train::int as n_real_train, test::int as n_real_test, (train * times)::int as n_fit, (case when run = 'real' then 0 else train end)::int as n_added, test as n
+from t, (values ('real', 'TRTR', 0, 1), ('odd', 'TSTR', 1, 1), ('odd', 'TAUG', 1, 2), ('odd', 'TRTR_RESAMPLED', 1, 2)) p(run, protocol, ratio, times)"""
+
+
+@query(with_long(_JOBS, COHORT))
+def utility_jobs(spark, sf_dir):
+    """Sizes of the jobs of one domain, as its confusion cells and training parts have them."""
+    real, synthetic = halves(cohort(spark, sf_dir))
+    return utility.job_sizes(utility.utility(real, {"odd": synthetic}, ("logistic",), ["panic"], folds=3, targeted={"odd": utility.ELIGIBLE}))
 
 
 @query()
 def boost_utility(spark, sf_dir):
     real, _ = halves(cohort(spark, sf_dir))
-    return models.utility(real, None, ("boosting",), ["panic"], folds=3)
+    return utility.utility(real, None, ("boosting",), ["panic"], folds=3).drop("seconds")
+
+
+@query()
+def utility_curve(spark, sf_dir):
+    """Half, as many and twice as many synthetic rows as real ones, one domain, a real cohort of a quarter of the rows."""
+    rows = cohort(spark, sf_dir)
+    return utility.learning_curves(rows.where("ID % 4 = 0"), {"odd": rows.where("ID % 2 = 1")}, [0.5, 1, 2], rows.where("ID % 4 = 0").count(), ("logistic",), ["panic"], folds=3).drop("seconds")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.instrument import SURVEY
 from surveyloom.functions.responses import parse
 from surveyloom.functions.scalars import fingerprint, norm_cdf, probit
-from surveyloom.operators import confusion, copula, models, ranking, requests, resampling, results, scoring, summaries
+from surveyloom.operators import confusion, copula, models, ranking, requests, resampling, results, scoring, summaries, utility
 from surveyloom.plans.cohort import cohort
 from surveyloom.sources import tables
 from surveyloom.streaming import journal
@@ -291,15 +291,17 @@ def test_models_learn():
     y = (x[:, 0] + x[:, 1] > 0).astype(int) * 2
     x[rng.random(x.shape) < 0.02] = np.nan
     for grid in (models.LINEAR[2:4], models.BOOST[2:3]):
-        p, about = models.fit_predict(x[:200], y[:200], x[200:], grid)
-        assert (p == y[200:]).mean() > 0.85
-        assert about["score"] > 0.3
-    assert set(models.fit_predict(x[:10], np.full(10, 3), x, models.LINEAR)[0]) == {3}
+        choice = models.select(x[:200], y[:200], grid)
+        assert (models.fit_predict(choice, x[:200], y[:200], x[200:]) == y[200:]).mean() > 0.85
+        assert choice.score > 0.3
+    alone = models.select(x[:10], np.full(10, 3), models.LINEAR)
+    assert (alone.candidate, alone.score) == (models.LINEAR[0], None)
+    assert set(models.fit_predict(alone, x[:10], np.full(10, 3), x)) == {3}
 
 
 def test_utility(people):
     real, synthetic = people.where("ID % 2 = 0 and ID < 240"), people.where("ID % 2 = 1 and ID < 240")
-    cells = models.utility(real, synthetic, ("logistic",), ["depression"], folds=2).cache()
+    cells = utility.utility(real, {"a": synthetic}, ("logistic",), ["depression"], folds=2).cache()
     n = {r["protocol"]: r["n"] for r in cells.groupBy("protocol").agg(F.sum("n").alias("n")).collect()}
     assert n == {"TRTR": 120, "TSTR": 120, "TAUG": 120}
     m = confusion.macro(confusion.tier_counts(cells, ["protocol"]), ["protocol"]).collect()
