@@ -1,10 +1,13 @@
 """Personal data by weak supervision.
 
-Candidates are the spans of the base patterns and of wider ones (numbers without a plus sign, spelled-out addresses,
-account numbers). Labelers vote on each: the pattern, its structure (check sums, ranges), a gazetteer, words before it,
-and its surroundings. Expectation-maximisation over the counts of vote patterns in the whole corpus estimates each
-labeler's reliability and the share of true spans; a logistic span classifier is then trained on those probabilities
-and on features of the span. Base spans always stay; a wider candidate stays if the classifier gives at least 0.5.
+Candidates are the spans of the base patterns and of wider ones: numbers without a plus sign, telephone and card numbers
+in a run of digits that a base pattern takes whole and drops, spelled-out addresses, account numbers, and what looks
+like personal data and mostly isn't, as versions, plain numbers and digits inside keys. Labelers vote on each: the
+pattern, its structure (check sums, ranges), a gazetteer, words before it for and against, and its surroundings.
+Expectation-maximisation over the counts of vote patterns in the whole corpus estimates, for each group of kinds by
+itself, each labeler's reliability and the share of true spans; a logistic span classifier is then trained on those
+probabilities and on features of the span. Base spans always stay; a wider candidate stays if the classifier gives at
+least 0.5.
 """
 
 from __future__ import annotations
@@ -22,7 +25,16 @@ from surveyloom.llm.common import arrow, staged, text_bytes
 from surveyloom.llm.secretscan import digest_columns
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "phone_local", "email_spelled", "iban", "ssn")
+#: Wider kinds in the order in which they are looked for, each with the group that its labelers are judged in. What
+#: overlaps a base span or one that was found before it isn't a candidate.
+WIDER_GROUPS = {
+    "phone_within": "phone", "card_within": "card", "phone_local": "phone", "email_spelled": "email", "iban": "iban", "ssn": "ssn",
+    "ip_like": "ip", "email_like": "email", "number": "phone",
+}
+GROUPS = {k: k for k in BASE} | WIDER_GROUPS
+KINDS = tuple(GROUPS)
+#: Kinds that mostly aren't personal data: their pattern speaks against them.
+UNLIKELY = ("ip_like", "email_like", "number")
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -34,6 +46,11 @@ WIDER = {
     "email_spelled": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}(?:\x20at\x20|\x20?\[at\]\x20?|\x20?\(at\)\x20?)[A-Za-z0-9-]{1,64}(?:\x20dot\x20|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z]{2,24}(?![A-Za-z])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "phone_within": re.compile(r"(?<![0-9+])\+[0-9]{1,3}\x20?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])"),
+    "card_within": re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])"),
+    "ip_like": re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+"),
+    "email_like": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.-])"),
+    "number": re.compile(r"(?<![0-9])[0-9]{7,19}(?![0-9])"),
 }
 
 # Common top-level domains, country calling codes, IBAN countries, and words that stand before such data.
@@ -42,16 +59,14 @@ CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40",
 IBANS = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split())
 NEAR = {
     "email": "mail email e-mail contact write correo courriel kontakt",
-    "email_spelled": "mail email e-mail contact write correo courriel kontakt",
     "ip": "ip host server address addr login from client",
     "card": "card visa mastercard amex credit payment pay tarjeta carte karte",
     "phone": "phone tel call fax mobile cell telephone telefon teléfono téléphone contact",
-    "phone_local": "phone tel call fax mobile cell telephone telefon teléfono téléphone contact",
     "iban": "iban account bank konto compte cuenta transfer",
     "ssn": "ssn social security taxpayer tax",
 }
 CONTEXT = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v.split())) + r")(?!\w)", re.I) for k, v in NEAR.items()}
-OTHERWISE = re.compile(r"(?<!\w)(?:version|isbn|order|invoice|page|figure|section|serial|ratio|score|article|no|nr|id)(?!\w)", re.I)
+OTHERWISE = re.compile(r"(?<!\w)(?:version|release|isbn|order|invoice|page|figure|section|serial|ratio|score|article|no|nr|id|token|secret|password|passwd|api_?key)(?!\w)", re.I)
 WINDOW = 40
 
 
@@ -114,40 +129,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def wider_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of the wider patterns that touch no base span."""
-    found = []
-    digits = re.search("[0-9]{4}", text) is not None
-    for k in range(len(BASE), len(KINDS)):
-        kind = KINDS[k]
-        if (digits and kind != "email_spelled") or (kind == "email_spelled" and "dot" in text):
-            found += ((m.start(), k, m.end()) for m in WIDER[kind].finditer(text))
-    if not found:
-        return []
-    apart: list[list[int]] = []  # the base spans of all kinds, united
+    """Candidates of the wider patterns, ordered; none touches a base span or another."""
+    digits, at = re.search("[0-9]{4}|[0-9][.][0-9]", text) is not None, "@" in text
+    found: list[tuple[int, int, int]] = []
+    apart: list[tuple[int, int]] = []  # what is taken, united, ascending
     for a, _, b in taken:
         if apart and a < apart[-1][1]:
-            apart[-1][1] = max(apart[-1][1], b)
+            apart[-1] = (apart[-1][0], max(apart[-1][1], b))
         else:
-            apart.append([a, b])
-    starts = [a for a, _ in apart]
-    free = []
-    for a, k, b in sorted(found):
-        i = bisect_left(starts, b) - 1
-        if i < 0 or apart[i][1] <= a:
-            free.append((a, k, b))
-    return free
+            apart.append((a, b))
+    for k in range(len(BASE), len(KINDS)):
+        kind = KINDS[k]
+        if not {"email_spelled": "dot" in text, "email_like": at}.get(kind, digits):
+            continue
+        starts, free = [a for a, _ in apart], []
+        for m in WIDER[kind].finditer(text):
+            i = bisect_left(starts, m.end()) - 1
+            if i < 0 or apart[i][1] <= m.start():
+                free.append(m.span())
+        if free:
+            found += ((a, k, b) for a, b in free)
+            apart = sorted(apart + free)
+    return sorted(found)
 
 
 def structure(kind: str, value: str) -> int:
-    digits = re.sub("[^0-9]", "", value)
-    if kind == "card":
+    digits, group = re.sub("[^0-9]", "", value), GROUPS[kind]
+    if group == "card":
         return 1 if luhn(digits) and digits[:1] in "3456" else -1
-    if kind == "ip":
-        return -1 if value.startswith("0.") or any(len(x) > 1 and x[0] == "0" for x in value.split(".")) else 1
-    if kind == "phone":
-        return 1 if 10 <= len(digits) <= 13 else -1
+    if group == "ip":
+        parts = value.split(".")
+        return 1 if len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 and (x == "0" or x[0] != "0") for x in parts) and parts[0] != "0" else -1
     if kind == "phone_local":
         return 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
+    if kind == "number":
+        return 0 if len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789" else -1
+    if group == "phone":
+        return 1 if 10 <= len(digits) <= 13 else -1
     if kind == "iban":
         moved = value[4:] + value[:4]
         return 1 if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else -1
@@ -157,13 +175,14 @@ def structure(kind: str, value: str) -> int:
 
 
 def gazetteer(kind: str, value: str) -> int:
-    if kind in ("email", "email_spelled"):
-        return 1 if re.split("[^A-Za-z]", value)[-1].lower() in DOMAINS else -1
-    if kind == "phone":
-        return 1 if re.sub("[^0-9]", "", value).startswith(CALLING) else -1
-    if kind == "iban":
+    group = GROUPS[kind]
+    if group == "email":
+        return 1 if kind != "email_like" and re.split("[^A-Za-z]", value)[-1].lower() in DOMAINS else -1
+    if group == "phone":
+        return 0 if value[:1] != "+" else 1 if re.sub("[^0-9]", "", value).startswith(CALLING) else -1
+    if group == "iban":
         return 1 if value[:2] in IBANS else -1
-    if kind == "ip":
+    if group == "ip":
         return 1 if value.startswith(("10.", "192.168.", "127.", "172.")) else 0
     return 0
 
@@ -173,12 +192,12 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     value, before = text[a:b], text[max(0, a - WINDOW) : a]
     left, right = text[a - 1 : a], text[b : b + 1]
     return (
-        1 if kind in BASE else 0,
+        1 if kind in BASE else -1 if kind in UNLIKELY else 0,
         structure(kind, value),
         gazetteer(kind, value),
-        1 if CONTEXT[kind].search(before) else 0,
+        1 if CONTEXT[GROUPS[kind]].search(before) else 0,
         -1 if OTHERWISE.search(before) else 0,
-        -1 if (left and left in "./-_=#" and value[:1] != "+") or (right and (right.isalnum() or right in "/_=")) else 1,
+        -1 if (left and (left in "./-_=#" or (left.isalnum() and left.isascii())) and value[:1] != "+") or (right and (right.isalnum() or right in "/_=")) else 1,
     )
 
 
@@ -190,9 +209,9 @@ def key_of(kind: str, text: str, a: int, b: int) -> str:
 
 
 def vote_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """EM for two classes and labelers that err independently, abstaining included, over counted vote patterns.
+    """EM for two classes and labelers that err independently, over counted vote patterns; one that abstains says nothing.
     Returns each pattern's probability of a true span, and by labeler the probability of votes (-1, 0, 1) given a
-    false and a true span. Add-one smoothing keeps all finite; it begins from the mean vote."""
+    false and a true span and that it votes. Add-one smoothing keeps all finite; it begins from the mean vote."""
     v = np.array([p for p, _ in patterns], dtype=np.int64) + 1
     n = np.array([c for _, c in patterns], dtype=np.float64)
     post = 1 / (1 + np.exp(-(v - 1).sum(1) * 1.0))
@@ -201,9 +220,11 @@ def vote_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
         for j in range(v.shape[1]):
             for c, w in enumerate((n * (1 - post), n * post)):
                 table[j, c] = np.bincount(v[:, j], weights=w, minlength=3) + 1
+        table[:, :, 1] = 0
         table /= table.sum(2, keepdims=True)
+        told = np.log(table + (table == 0))  # of an abstention nothing
         prior = (np.sum(n * post) + 1) / (n.sum() + 2)
-        log = np.log([1 - prior, prior])[None] + sum(np.log(table[j][:, v[:, j]]).T for j in range(v.shape[1]))
+        log = np.log([1 - prior, prior])[None] + sum(told[j][:, v[:, j]].T for j in range(v.shape[1]))
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             break
@@ -218,7 +239,7 @@ def span_classifier(keys: list[str], counts: list[int], soft: np.ndarray, rounds
     rows = []
     for key in keys:
         kind, vote, size, around = key.split("|")
-        parts = [kind, f"size{size}", f"{kind}{around}", *(f"v{j}{x}" for j, x in enumerate(vote.split(",")))]
+        parts = [kind, f"{kind}{size}", f"{kind}{around}", *(f"{GROUPS[kind]}{j}{x}" for j, x in enumerate(vote.split(",")))]
         rows.append([names.setdefault(p, len(names)) for p in parts])
     x = np.zeros((len(keys), len(names) + 1))
     x[:, -1] = 1
@@ -260,23 +281,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def label_model(found: DataFrame) -> dict[str, float]:
     """Probability of a true span by key. Only counts of keys come to the driver; their number is bounded by the
-    classes of the parts (8 kinds, 2 to 3 votes of 6 labelers, 5 sizes, 3 surroundings), not by the corpus."""
+    classes of the parts (13 kinds, 2 to 3 votes of 6 labelers, 5 sizes, 3 surroundings), not by the corpus."""
     rows = found.select(F.explode("spans.key").alias("key")).groupBy("key").count().orderBy("key").collect()
     if not rows:
         return {}
     keys, counts = [r["key"] for r in rows], [r["count"] for r in rows]
-    post = np.zeros(len(keys))
-    groups: dict[str, list[int]] = {}
-    for i, key in enumerate(keys):
-        groups.setdefault(key.split("|")[0], []).append(i)
-    every = {k: tuple(map(int, k.split("|")[1].split(","))) for k in keys}
-    patterns: dict[tuple[int, ...], int] = {}
-    for k, c in zip(keys, counts, strict=True):
-        patterns[every[k]] = patterns.get(every[k], 0) + c
-    soft = dict(zip(patterns, vote_model(list(patterns.items()))[0], strict=True))
-    for i, k in enumerate(keys):
-        post[i] = soft[every[k]]
-    return dict(zip(keys, span_classifier(keys, counts, post).tolist(), strict=True))
+    return dict(zip(keys, span_classifier(keys, counts, soft_labels(keys, counts)).tolist(), strict=True))
+
+
+def soft_labels(keys: list[str], counts: list[int]) -> np.ndarray:
+    """EM's probability of a true span for each key: a model for each group of kinds."""
+    group = [GROUPS[k.split("|")[0]] for k in keys]
+    vote = [tuple(map(int, k.split("|")[1].split(","))) for k in keys]
+    out = np.zeros(len(keys))
+    for g in sorted(set(group)):
+        at = [i for i, x in enumerate(group) if x == g]
+        patterns: dict[tuple[int, ...], int] = {}
+        for i in at:
+            patterns[vote[i]] = patterns.get(vote[i], 0) + counts[i]
+        post = dict(zip(patterns, vote_model(list(patterns.items()))[0], strict=True))
+        out[at] = [post[vote[i]] for i in at]
+    return out
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

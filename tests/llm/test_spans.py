@@ -1,9 +1,11 @@
 """Secret and PII scans against plain regular expressions over whole texts."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from surveyloom.llm import pii, secretscan
@@ -112,6 +114,93 @@ def test_label_model_tells_reliable_from_noisy():
     assert abs(table[3, 1, 2] - 0.5) < 0.1
 
 
+def test_vote_model_is_plain_em():
+    """The same steps written out one by one."""
+    rng = random.Random(4)
+    rows = {}
+    for _ in range(300):
+        v = tuple(rng.choice((-1, 0, 1)) for _ in range(3))
+        rows[v] = rows.get(v, 0) + 1
+    data = list(rows.items())
+    post = [1 / (1 + math.exp(-sum(v))) for v, _ in data]
+    for _ in range(100):
+        table = [[[1.0] * 3 for _ in range(2)] for _ in range(3)]
+        for (v, n), p in zip(data, post, strict=True):
+            for j in range(3):
+                table[j][0][v[j] + 1] += n * (1 - p)
+                table[j][1][v[j] + 1] += n * p
+        table = [[[x / (c[0] + c[2]) for x in c] for c in t] for t in table]
+        prior = (sum(n * p for (_, n), p in zip(data, post, strict=True)) + 1) / (sum(n for _, n in data) + 2)
+        new = []
+        for v, _ in data:
+            odds = [1 - prior, prior]
+            for j in range(3):
+                odds = [o * (table[j][c][v[j] + 1] if v[j] else 1) for c, o in enumerate(odds)]
+            new.append(odds[1] / sum(odds))
+        if max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9:
+            break
+        post = new
+    got = pii.vote_model(data)[0]
+    assert max(abs(a - b) for a, b in zip(got, post, strict=True)) < 1e-6
+
+
+def test_groups_are_judged_apart():
+    """A labeler that is reliable for one group and noise for another: what it says of the one doesn't carry over."""
+    keys = ["phone|1,1,1,0,0,1|1|s", "number|-1,-1,0,0,-1,-1|1|w", "card|1,1,0,0,0,1|2|s", "card_within|0,-1,0,0,0,-1|2|w"]
+    alone = pii.soft_labels(keys[:2], [50, 50])
+    both = pii.soft_labels(keys, [50, 50, 3, 900])
+    assert np.allclose(both[:2], alone)
+    assert alone[0] > 0.9 > 0.1 > alone[1]
+
+
+def test_span_classifier_is_at_its_optimum():
+    """No small change of one key's logit by a shared part lowers the loss: compared with plain gradient descent."""
+    keys = ["phone|1,1,1,0,0,1|1|s", "phone|1,-1,1,0,0,1|1|s", "phone_local|0,1,0,1,0,1|1|s", "phone_local|0,-1,0,0,-1,-1|1|p", "number|-1,-1,0,0,0,-1|1|w"]
+    counts, soft = [90, 10, 20, 15, 40], np.array([0.99, 0.9, 0.8, 0.1, 0.02])
+    names = sorted({x for k in keys for x in parts_of(k)})
+    x = np.array([[n in parts_of(k) for n in names] + [True] for k in keys], dtype=float)
+    c = np.sqrt(counts) / np.sqrt(counts).sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= 0.5 * (x.T @ (c * (p - soft)) + 1e-4 * w)
+    assert np.allclose(pii.span_classifier(keys, counts, soft), 1 / (1 + np.exp(-x @ w)), atol=1e-3)
+
+
+def parts_of(key):
+    kind, vote, size, around = key.split("|")
+    return {kind, f"{kind}{size}", f"{kind}{around}", *(f"{pii.GROUPS[kind]}{j}{v}" for j, v in enumerate(vote.split(",")))}
+
+
+def test_some_wider_candidates_stay_and_some_go(spark):
+    rng = random.Random(6)
+
+    def card():
+        d = "4" + "".join(rng.choices("0123456789", k=14))
+        return d + next(c for c in "0123456789" if luhn(d + c))
+
+    def phone():
+        return f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+
+    def hexed():
+        return "".join(rng.choices("abcdef", k=6)) + "".join(rng.choices("0123456789", k=9)) + "e"
+
+    texts = []
+    for i in range(150):
+        texts += [f"call {phone()} now", f"card {card()} it is", f"token = {hexed()} end", f"order {rng.randint(10**8, 10**9)} came", f"version {i}.2.3.4.5.6 is out"]
+    swallowed = [(phone(), card()) for _ in range(6)]
+    texts += [f"there {p} {c} end" for p, c in swallowed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.pii_digest(docs).collect()}
+    for i, (p, c) in enumerate(swallowed, len(texts) - 6):
+        assert f"phone_within:6:{6 + len(p)}" in rows[i]["spans"].split(",")
+        assert f"card_within:{7 + len(p)}:{7 + len(p) + len(c)}" in rows[i]["spans"].split(",")
+    kept = [s for i in range(len(texts) - 6) for s in rows[i]["spans"].split(",") if s]
+    assert {s.split(":")[0] for s in kept} <= {"phone", "card", "ip"}
+    found = [s for r in pii.candidates(docs).collect() for s in r["spans"]]
+    assert sum(s["kind"] == "number" for s in found) >= 250
+
+
 def test_long_runs_are_linear():
     text = "1" * 200_000 + " " + "a" * 200_000 + "." * 1000 + "@" * 1000 + "-" * 1000 + "+1" + "(" * 100_000
     assert pii.base_spans(text) == []
