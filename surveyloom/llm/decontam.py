@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import arrow
+from surveyloom.llm.common import arrow, staged
 
 K1, B, SHINGLE, OVERLAP, BLOCK = 1.2, 0.75, 5, 0.8, 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -73,13 +73,28 @@ class Index:
     need: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-def build_index(rows: list[tuple[int | None, str]], longest: int, share: float = OVERLAP) -> Index:
-    """An index of items; those without words take no part."""
+@dataclass(frozen=True)
+class Corpus:
+    """Of all items with words, whatever index they are in: their number, words and, for some words, items that hold them."""
+
+    n: int
+    words: int
+    df: dict[str, int]
+
+
+def corpus_of(rows: list[tuple[int | None, str]]) -> Corpus:
+    each = [w for _, t in rows if (w := words(t))]
+    return Corpus(len(each), sum(map(len, each)), dict(Counter(t for w in each for t in set(w))))
+
+
+def build_index(rows: list[tuple[int | None, str]], longest: int, share: float = OVERLAP, corpus: Corpus | None = None) -> Index:
+    """An index of items; those without words take no part. BM25 is by the corpus, or the rows where there's none."""
     kept = [(i, w, *question_answer(t)) for i, t in rows if (w := words(t))]
-    n, mean = len(kept), sum(len(w) for _, w, _, _ in kept) / max(1, len(kept))
-    df = Counter(t for _, w, _, _ in kept for t in set(w))
+    corpus = corpus or corpus_of(rows)
+    total, mean = corpus.n, corpus.words / max(1, corpus.n)
+    n, df = len(kept), {t: corpus.df[t] for _, w, _, _ in kept for t in w}
     terms = {t: k for k, t in enumerate(sorted(df))}
-    idf = {t: math.log1p((n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    idf = {t: math.log1p((total - c + 0.5) / (c + 0.5)) for t, c in df.items()}
     least, need = np.zeros(n), np.zeros(n)
     lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
     light: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -226,22 +241,37 @@ def found_in(indexes: list[Index], texts: list[str | None]) -> list[list[tuple[i
 
 def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[Index]]:
     """Indexes of at most SHARD_BYTES of item text at a time: what goes to the tasks is bounded, however large the
-    benchmark; each shard is one more pass over the documents. Items of like lengths share an index."""
+    benchmark; each shard is one more pass over the documents. Items of like lengths share an index. Document
+    frequencies, number and mean length are those of all items: tasks count them, and each item comes with those of its
+    own words, so that its scores are the same whatever else is in its shard."""
 
     def build(rows: list[tuple]) -> list[Index]:
+        corpus = Corpus(total["n"], total["words"] or 0, {t: c for *_, df in rows for t, c in df})
         by: dict[int, list] = defaultdict(list)
-        for i, t in rows:
+        for i, t, _ in rows:
             by[max(64, 1 << (len(words(t)) - 1).bit_length()) if words(t) else 64].append((i, t))
-        return [build_index(v, k) for k, v in sorted(by.items())]
-
+        return [build_index(v, k, corpus=corpus) for k, v in sorted(by.items())]
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [words(t) for t in batch.column(1).to_pylist()]
+            yield arrow({"row": (batch.column(0), pa.int64()), "size": ([len(w) for w in each], pa.int64()), "terms": ([sorted(set(w)) for w in each], pa.list_(pa.string()))})
+
+    slim = items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    table = staged(slim.withColumn("row", F.monotonically_increasing_id()), "items")
+    has = staged(table.select("row", "t").mapInArrow(counted, "row long, size long, terms array<string>"), "terms")
+    total = has.where("size > 0").agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+    terms = has.select("row", F.explode("terms").alias("term"))
+    own = terms.join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("df"))
     rows, size = [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t").toLocalIterator():
-        rows.append((r["i"], r["t"]))
+    for r in table.join(own, "row", "left").select("i", "t", "df").orderBy("i", "t").toLocalIterator():
+        rows.append((r["i"], r["t"], r["df"] or ()))
         size += len(r["t"])
         if size >= SHARD_BYTES:
             yield build(rows)
             rows, size = [], 0
-    yield build(rows)
+    if rows:
+        yield build(rows)
 
 
 BATCH_CHARS = 200_000
@@ -254,7 +284,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows of docs give repeated results, repeated items are items of their own; an empty table gives no rows; other
     columns are not read. No shuffle: the index goes to the documents.
     """
-    out = None
+    kinds = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
+    out = docs.sparkSession.createDataFrame([], kinds)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for indexes in shards(items, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(indexes)
@@ -274,11 +305,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def rows(ids: list, found: list) -> pa.RecordBatch:
             flat = [(d, *r) for d, x in zip(ids, found, strict=True) for r in x]
-            kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "bm25": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
-            return arrow({n: ([r[i] for r in flat], k) for i, (n, k) in enumerate(kinds.items())})
+            names = {"doc_id": pa.int64(), "item_id": pa.int64(), "bm25": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
+            return arrow({n: ([r[i] for r in flat], k) for i, (n, k) in enumerate(names.items())})
 
-        made = slim.mapInArrow(find, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")
-        out = made if out is None else out.unionByName(made)
+        out = out.unionByName(slim.mapInArrow(find, kinds))
     return out
 
 
