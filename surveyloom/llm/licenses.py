@@ -1,8 +1,10 @@
 """License scans by canonical digests.
 
 A text is made canonical: every run of anything but ASCII letters and digits is a blank, letters are lower case,
-lines that begin with a copyright notice go, and spellings that licence lists treat as equal become one. Whole
-documents and each of their lines, as entire texts, are hash-joined by digest with known licence texts and notices.
+lines that are a copyright notice go, and spellings that licence lists treat as equal become one. A notice begins with
+a copyright sign, or with the word and has a sign after it or a year: a licence's own line that happens to be wrapped
+before "copyright holder" stays. Whole documents and each of their lines, as entire texts, are hash-joined by digest
+with known licence texts and notices.
 """
 
 from __future__ import annotations
@@ -48,74 +50,114 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", f"This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n{_WARRANTY.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS')}\n\nFor more information, please refer to <https://unlicense.org>"),
+)
+# Digests of the canonical forms of whole public licence texts, as their publishers give them.
+DIGESTS = (
+    ("Apache-2.0", "c356b639d57258a01ba9d9ac97344c26"),
+    ("Artistic-1.0-Perl", "2fe792d1191a708e71b9beca097682bd"),
+    ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"),
+    ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2-only", "0ddc974af2022d1eb483df77268fc903"),
+    ("GFDL-1.3-only", "6dcd514fc8d59959d92fedf319737026"),
+    ("GPL-1.0-only", "dffcc23cae41db415bb27b7987712965"),
+    ("GPL-2.0-only", "d12bd1861b765e3ef34910ec8272e64b"),
+    ("GPL-3.0-only", "7c84c57719c51d58b686442de8f8471b"),
+    ("LGPL-2.0-only", "ebf358251bfe9161668a8c8251261977"),
+    ("LGPL-2.1-only", "1ff066c677365f47fea81c911a7c822e"),
+    ("LGPL-3.0-only", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "bba4061456cdbf0de00fa6bd343f6cb3"),
+    ("MPL-2.0", "a27e119cd87d765a971af4667b2bf9b1"),
 )
 BROADCAST_BYTES = 8 << 20
 
 
-def canonical_lines(text: Column) -> Column:
-    """Canonical lines, those empty or of a copyright notice left out. Each line has a blank at either end."""
-    marked = F.replace(F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("©"), F.lit(" copyright ")), F.lit("(c)"), F.lit(" copyright ")), F.lit("(C)"), F.lit(" copyright "))
-    flat = F.lower(F.regexp_replace(F.concat(F.lit("\n"), marked, F.lit("\n")), "[^A-Za-z0-9\n]+", " "))
-    spaced = F.regexp_replace(flat, " ?\n ?", " \n ")
+#: A copyright sign as a word of its own, and what a line of a notice looks like. Words have two blanks between them, so
+#: that each has its own on either side.
+SIGNS, SIGN = ("©", "(c)", "(C)"), "copyrightsign"
+NOTICE = f"^ +(?:{SIGN} |copyright +{SIGN} |copyright (?:.* )?(?:19|20)[0-9][0-9] |all  rights  reserved )"
+
+
+def marked_lines(text: Column) -> Column:
+    """Lower-case lines, words two blanks apart with two at either end, those empty or of a copyright notice left out."""
+    marked = F.coalesce(text.cast("string"), F.lit(""))
+    for sign in SIGNS:
+        marked = F.replace(marked, F.lit(sign), F.lit(f" {SIGN} "))
+    flat = F.lower(F.regexp_replace(F.concat(F.lit("\n"), marked, F.lit("\n")), "[^A-Za-z0-9\n]+", "  "))
+    kept = F.filter(F.split(F.regexp_replace(flat, " *\n *", "  \n  "), "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(NOTICE))
+    return F.filter(F.transform(kept, lambda x: F.replace(x, F.lit(f" {SIGN} "), F.lit(""))), lambda x: F.trim(x) != "")
+
+
+def canonical(words: Column) -> Column:
+    """Equal spellings made one, words one blank apart."""
     for a, b in EQUAL:
-        spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.filter(F.split(spaced, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith(" copyright ") & ~x.startswith(" all rights reserved "))
+        words = F.replace(words, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.regexp_replace(words, " +", " "))
 
 
 def digest_of(lines: Column) -> Column:
-    """md5 of the words of the lines, blank-joined: line breaks don't count."""
-    return F.md5(F.array_join(F.transform(lines, lambda x: F.trim(x)), " "))
+    """md5 of the words of marked lines: line breaks don't count."""
+    return F.md5(canonical(F.regexp_replace(F.array_join(lines, ""), " +", "  ")))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license), one row for each digest."""
-    table = spark.createDataFrame(list(known), "license string, text string").withColumn("lines", canonical_lines(F.col("text")))
-    return table.select(digest_of(F.col("lines")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """(digest, license), one row for each digest: of two licences with one text the first by name."""
+    table = spark.createDataFrame(list(known), "license string, text string").withColumn("lines", marked_lines(F.col("text")))
+    both = table.select(digest_of(F.col("lines")).alias("digest"), "license").unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
+    return both.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(doc_id, text_digest, text_license, n_notices, notice_licenses), one row for each doc_id.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """(doc_id, text_digest, text_license, n_notices, notice_licenses), one row for each row of docs.
 
     text_license: of the whole text, null if unknown; n_notices: its lines that as entire texts are known;
     notice_licenses: their distinct names, sorted, comma-joined, empty for none. A null text is an empty one (its digest
-    is that of no words). Rows with the same id, null included, make one row: the least digest, the least licence, all
-    notices. An empty table gives no rows; other columns are not read. The text is read once; a task sums up what its
-    rows found before the shuffle, so that moves one small row for each id.
+    is that of no words), a null id stays null, repeated rows are repeated. An empty table gives no rows; other columns
+    are not read. The text is read once; a task sums up a row's lines before the shuffle, which moves one small row each.
     """
     lines = F.col("lines")
-    units = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines")).select(
-        "doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest_of(lines).alias("digest"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), F.md5(F.trim(x)).alias("digest"))))).alias("u")
+    units = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), marked_lines(F.col(text_col)).alias("lines")).select(
+        "row", "doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest_of(lines).alias("digest"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), F.md5(canonical(x)).alias("digest"))))).alias("u")
     )
-    table = known_digests(docs.sparkSession, known)
-    small = sum(len(n) + len(t) for n, t in known) < BROADCAST_BYTES  # digests are shorter than what they're of
-    joined = units.select("doc_id", "u.whole", "u.digest").join(F.broadcast(table) if small else table, "digest", "left")
-    return joined.groupBy("doc_id").agg(
+    table = known_digests(docs.sparkSession, known, digests)
+    small = sum(len(n) + len(t) for n, t in (*known, *digests)) < BROADCAST_BYTES  # digests are shorter than what they're of
+    joined = units.select("row", "doc_id", "u.whole", "u.digest").join(F.broadcast(table) if small else table, "digest", "left")
+    return joined.groupBy("row", "doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"),
         F.min(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.count(F.when(~F.col("whole"), F.col("license"))).alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notice_licenses"),
-    )
+    ).drop("row")
 
 
-def license_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
+def license_sql(known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS) -> str:
     """The same as DuckDB SQL."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
+    def lines(x: str) -> str:
+        marked = f"coalesce({x}, '')"
+        for sign in SIGNS:
+            marked = f"replace({marked}, '{sign}', ' {SIGN} ')"
+        out = f"regexp_replace(lower(regexp_replace(chr(10) || {marked} || chr(10), '[^A-Za-z0-9\\n]+', '  ', 'g')), ' *\\n *', '  ' || chr(10) || '  ', 'g')"
+        kept = f"list_filter(string_split({out}, chr(10)), lambda x: trim(x) <> '' and not regexp_matches(x, '{NOTICE}'))"
+        return f"list_filter(list_transform({kept}, lambda x: replace(x, ' {SIGN} ', '')), lambda x: trim(x) <> '')"
+
     def canonical(x: str) -> str:
-        marked = f"replace(replace(replace(coalesce({x}, ''), '©', ' copyright '), '(c)', ' copyright '), '(C)', ' copyright ')"
-        out = f"regexp_replace(lower(regexp_replace(chr(10) || {marked} || chr(10), '[^A-Za-z0-9\\n]+', ' ', 'g')), ' ?\\n ?', ' ' || chr(10) || ' ', 'g')"
         for a, b in EQUAL:
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"list_filter(string_split({out}, chr(10)), lambda x: trim(x) <> '' and not starts_with(x, ' copyright ') and not starts_with(x, ' all rights reserved '))"
+            x = f"replace({x}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
-    whole = "md5(array_to_string(list_transform(lines, lambda x: trim(x)), ' '))"
+    text = "regexp_replace(array_to_string(lines, ''), ' +', '  ', 'g')"
+    whole = f"md5({canonical(text)})"
     values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known)
+    more = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in digests)
     return f"""
-with known as (select {whole} as digest, min(license) as license from (select license, {canonical("text")} as lines from (values {values}) k(license, text)) group by 1),
-docs as (select doc_id, {canonical("text")} as lines from documents),
-units as (select doc_id, true as whole, {whole} as digest from docs union all select doc_id, false, md5(trim(line)) from (select doc_id, unnest(lines) as line from docs))
+with every as (select {whole} as digest, license from (select license, {lines("text")} as lines from (values {values}) k(license, text)) union all select digest, license from (values {more}) d(license, digest)),
+known as (select digest, min(license) as license from every group by 1),
+docs as (select row_number() over () as r, doc_id, {lines("text")} as lines from documents),
+units as (select r, doc_id, true as whole, {whole} as digest from docs union all select r, doc_id, false, md5({canonical("line")}) from (select r, doc_id, unnest(lines) as line from docs))
 select doc_id, min(case when whole then digest end) as text_digest, min(case when whole then license end) as text_license,
   count(case when not whole then license end) as n_notices, coalesce(string_agg(distinct case when not whole then license end, ',' order by case when not whole then license end), '') as notice_licenses
-from units left join known using (digest) group by doc_id"""
+from units left join known using (digest) group by r, doc_id"""

@@ -109,6 +109,36 @@ def test_decontamination(spark, documents, texts):
     assert 8 < len([d for d, _ in want if d >= 10_000]) < 72
 
 
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    """BM25 by all items, worked out one by one, with one shard and with many."""
+    rng = random.Random(8)
+    vocabulary = [f"w{j}" for j in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([8, 20, 90])))) for i in range(60)]
+    docs = [(i, f"{rng.choice(items)[1]} and {rng.choice(items)[1]}") for i in range(40)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    df = Counter(t for _, x in items for t in set(x.split()))
+    mean = sum(len(x.split()) for _, x in items) / len(items)
+
+    def bm25(item, passage):
+        out = 0.0
+        for t, c in Counter(item).items():
+            if t in passage:
+                out += math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(item) / mean))
+        return out
+
+    seen = []
+    for size in (decontam.SHARD_BYTES, 500):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        got = {(r["doc_id"], r["item_id"]): r["bm25"] for r in decontam.contaminated(*frames).collect()}
+        assert set(got) == plain_leaks(items, docs)
+        seen.append(got)
+        for (d, i), score in got.items():
+            assert abs(score - bm25(items[i][1].split(), set(docs[d][1].split()))) < 1e-9
+    assert len(list(decontam.shards(frames[1], "item_id", "text"))) > 10
+    assert seen[0] == pytest.approx(seen[1])
+    assert decontam.drop_contaminated(*frames).count() == 0
+
+
 def test_block_max_wand_finds_all_above():
     rng = random.Random(2)
     items = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], weights=[1 / (j + 1) for j in range(60)], k=rng.randint(5, 20)))) for i in range(150)]
@@ -335,10 +365,74 @@ def test_licenses(spark, odd, none):
     assert [rows[i]["text_license"] for i in range(6)] == ["MIT", None, None, None, None, "CC-BY-NC-4.0"]
     assert [rows[i]["n_notices"] for i in range(6)] == [0, 1, 0, 0, 0, 1]
     assert rows[1]["notice_licenses"] == "MIT"
-    assert sorted(repr(r["doc_id"]) for r in licenses.scan_licenses(odd).collect()) == sorted(map(repr, [1, 2, 3, None, 4, 5, 6]))
+    assert sorted(repr(r["doc_id"]) for r in licenses.scan_licenses(odd).collect()) == sorted(repr(r["doc_id"]) for r in odd.collect())
     assert licenses.scan_licenses(none).collect() == []
 
 
+def test_licence_texts_may_be_wrapped(spark):
+    """A whole text counts whatever its line breaks, case, marks and spellings, with notices about it or without."""
+    import re
+    import textwrap
+
+    rng, known, texts = random.Random(9), licenses.KNOWN, []
+    for name, text in known:
+        for width in (30, 61, 79, 10_000):
+            own = "\n".join(x for p in text.split("\n") for x in textwrap.wrap(p, width, break_long_words=False))
+            own = re.sub(r"\blicense\b", "licence", own).replace("copyright holders", "copyright owners")
+            head = rng.choice(["", "Copyright (c) 2021 Some Body\n", "© Some Body\n\n", "Copyright 1999-2003 A, B\nAll rights reserved.\n"])
+            texts.append((name, head + (own.upper() if rng.random() < 0.3 else own)))
+    rows = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(texts))] == [n for n, _ in texts]
+
+
+def plain_words(text):
+    """Line by line and word by word."""
+    import re
+
+    out = []
+    for line in (text or "").split("\n"):
+        for sign in ("©", "(c)", "(C)"):
+            line = line.replace(sign, " \x01 ")
+        words = [w if w == "\x01" else w.lower() for w in re.findall("[A-Za-z0-9]+|\x01", line)]
+        notice = words[:1] == ["\x01"] or words[:2] == ["copyright", "\x01"] or (words[:1] == ["copyright"] and any(re.match("(19|20)[0-9][0-9]", w) for w in words[1:])) or words[:3] == ["all", "rights", "reserved"]
+        words = [w for w in words if w != "\x01"]
+        if not notice:
+            out += words
+    for a, b in licenses.EQUAL:
+        a, b, i = a.split(), b.split(), 0
+        while i < len(out):
+            if out[i : i + len(a)] == a:
+                out[i : i + len(a)] = b
+                i += len(b)
+            else:
+                i += 1
+    return out
+
+
+def test_canonical_form_is_plain(spark, texts):
+    import hashlib
+
+    more = ["licence licence licences", "Copyright holder\ncopyright holders of 1999", "copyright\n(c) x", "http http://a sub-licence sub licence", "Copyright x 2020", "©", "(C)(c) a", "copyright 20201 a", "x\ty\r\nz"]
+    docs = list(enumerate([*sorted(texts.values())[:300], *more]))
+    got = {r["doc_id"]: r["text_digest"] for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: hashlib.md5(" ".join(plain_words(t)).encode()).hexdigest() for i, t in docs}
+
+
+def test_whole_public_texts(spark):
+    import os
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    folder = "/usr/share/common-licenses"
+    if not all(os.path.exists(f"{folder}/{n}") for n in names):
+        pytest.skip("the texts aren't here")
+    rows = []
+    for i, n in enumerate(names):
+        with open(f"{folder}/{n}") as f:
+            rows.append((i, " ".join(w for w in f.read().replace("\n", " \n ").split(" ") if w)))
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(names))] == list(names.values())
+
+
 def test_licenses_sql(spark, documents):
     import duckdb
 
