@@ -394,7 +394,7 @@ def plain_words(text):
         for sign in ("©", "(c)", "(C)"):
             line = line.replace(sign, " \x01 ")
         words = [w if w == "\x01" else w.lower() for w in re.findall("[A-Za-z0-9]+|\x01", line)]
-        notice = words[:1] == ["\x01"] or words[:2] == ["copyright", "\x01"] or (words[:1] == ["copyright"] and any(re.match("(19|20)[0-9][0-9]", w) for w in words[1:])) or words[:3] == ["all", "rights", "reserved"]
+        notice = words[:1] == ["\x01"] or words[:2] == ["copyright", "\x01"] or (words[:1] == ["copyright"] and any(re.fullmatch("(19|20)[0-9][0-9]", w) for w in words[1:])) or words[:3] == ["all", "rights", "reserved"]
         words = [w for w in words if w != "\x01"]
         if not notice:
             out += words
