@@ -245,28 +245,52 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(distance.distinct_rows(c.where(F.col("src") == s), SURVEY.columns) for s in ("real", "synthetic"))
 
 
-@query()
+# Pairs of distinct rows with their numbers; K: mismatches of a pair.
+_COLUMNS = ", ".join(SURVEY.columns)
+_K = " + ".join(f"(a.{c} <> b.{c})::int" for c in SURVEY.columns)
+_SIDES = f"with cohort as ({COHORT}), {_EDGES}, {_CODES}, x as (select row_number() over () as id, * from (select {_COLUMNS}, count(*) as w from codes where src = 'real' group by all)), y as (select row_number() over () as id, * from (select {_COLUMNS}, count(*) as w from codes where src = 'synthetic' group by all))"
+_W = float(len(SURVEY.columns))
+
+
+def _histogram_sql(left: str, right: str) -> str:
+    return f"select ({_K})::int as k, sum(a.w * b.w)::bigint as n from {left} a, {right} b group by 1"
+
+
+def _mean_sql(left: str, right: str) -> str:
+    pairs = "sum(n)" if left != right else f"(select sum(w) * (sum(w) - 1) from {left})"
+    return f"(select sum(n * sqrt(k / {_W}::double)) / {pairs} from ({_histogram_sql(left, right)}))"
+
+
+def _proximity_sql(left: str, right: str) -> str:
+    own = " - (a.id = b.id)::int" if left == right else ""
+    return f"""{_SIDES}, near as (select a.id, any_value(a.w) as w, {_K} as k, sum(b.w{own}) as n from {left} a, {right} b group by a.id, 3 having sum(b.w{own}) > 0),
+two as (select id, any_value(w) as w, min(k) as d1, case when arg_min(n, k) >= 2 then min(k) else list_sort(list(k))[2] end as d2 from near group by id),
+each as (select d1, d2, unnest(range(w)) from two)
+select round(avg(d1 / {_W}::double), 9) as dcr_mean, round(quantile_cont(d1 / {_W}::double, 0.05), 9) as dcr_p05, round(100.0::double * count(*) filter (d1 = 0) / count(*), 9) as exact_percent, round(quantile_cont(case when d2 > 0 then d1 / d2::double else 1.0::double end, 0.05), 9) as nndr_p05 from each"""
+
+
+@query(f"{_SIDES} {_histogram_sql('x', 'y')}")
 def hamming_pairs(spark, sf_dir):
     return distance.pair_histogram(*sides(spark, sf_dir), large=True)
 
 
-@query()
+@query(f"{_SIDES} select round(sqrt(greatest(0, 2 * {_mean_sql('x', 'y')} - {_mean_sql('x', 'x')} - {_mean_sql('y', 'y')})), 9) as energy")
 def energy_distance(spark, sf_dir):
     c = codes(spark, sf_dir)
     value = distance.energy_distance(c.where("src = 'real'"), c.where("src = 'synthetic'"), SURVEY.columns, large=True)
-    return spark.createDataFrame([(value,)], "energy double")
+    return spark.createDataFrame([(value,)], "energy double").select(r9("energy").alias("energy"))
 
 
-@query()
+@query(_proximity_sql("y", "x"))
 def dcr_nndr(spark, sf_dir):
     real, synthetic = sides(spark, sf_dir)
-    return distance.proximity(distance.two_nearest(synthetic, real, large=True), len(SURVEY.columns))
+    return rounded(distance.proximity(distance.two_nearest(synthetic, real, large=True), len(SURVEY.columns)))
 
 
-@query()
+@query(_proximity_sql("x", "x"))
 def loo_proximity(spark, sf_dir):
     real, _ = sides(spark, sf_dir)
-    return distance.proximity(distance.two_nearest(real, real, leave_out=True, large=True), len(SURVEY.columns))
+    return rounded(distance.proximity(distance.two_nearest(real, real, leave_out=True, large=True), len(SURVEY.columns)))
 
 
 # --- ranks and correlation ---
