@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +40,9 @@ def rendered(profiles: DataFrame, documents: dict[str, dict], context: str = "fu
     documents: by domain its text (`about`, lines) and `items` (key, label), small configuration that becomes literals.
     context 'own' shows the domain's own target, 'full' all of the person's.
     """
-    if context not in ("own", "full") or set(documents) != set(instrument.names):
-        raise ValueError("context is own or full, and every domain has a document")
+    if context not in ("own", "full"):
+        raise ValueError("context is own or full")
+    checked_documents(documents, instrument)
     means = F.create_map(*(F.lit(x) for d in instrument.domains for x in (d.name, d.mean)))
     keys = F.create_map(*(F.lit(x) for d in instrument.domains for x in (d.name, d.key)))
     tops = F.create_map(*(F.lit(x) for d in instrument.domains for x in (d.name, d.top)))
@@ -64,6 +70,74 @@ def rendered(profiles: DataFrame, documents: dict[str, dict], context: str = "fu
     return made.withColumn("prompt_sha256", F.sha2(F.to_json(F.struct("disorder", "messages", "patient_id", "profile", "request_id", "target"), {"ignoreNullFields": "false"}), 256))
 
 
+def demographics_valid(age: Column, sex: Column) -> Column:
+    """An age is null or a finite number from 0 on, a sex 1 or 2; never null."""
+    a, s = age.cast("double"), sex.cast("double")
+    return (age.isNull() | F.coalesce((a >= 0) & (a < float("inf")) & ~F.isnan(a), F.lit(False))) & F.coalesce(s.isin(1.0, 2.0), F.lit(False))
+
+
+def checked_documents(documents: dict[str, dict], instrument: Instrument = SURVEY) -> dict[str, dict]:
+    """The documents as they are, or an error: one of each domain, with text, and exactly the domain's items in their
+    order, each with a label."""
+    if set(documents) != set(instrument.names):
+        raise ValueError("a document for each domain is asked for")
+    for d in instrument.domains:
+        doc = documents[d.name]
+        if not doc.get("about") or not all(isinstance(x, str) and x.strip() for x in doc["about"]):
+            raise ValueError(f"no text about {d.name}")
+        items = doc.get("items") or []
+        if [i.get("key") for i in items] != list(d.items):
+            raise ValueError(f"items of {d.name} are missing, repeated or in another order")
+        if not all(isinstance(i.get("label"), str) and i["label"].strip() for i in items):
+            raise ValueError(f"an item of {d.name} has no label")
+    return documents
+
+
+#: Settings of a run: default (None: it has to be given), and what a value must be.
+WHOLE, NUMBER, TEXT = "whole", "number", "text"
+SETTINGS: dict[str, tuple[object, str, Callable]] = {
+    "model": (None, TEXT, lambda x: True), "model_revision": (None, TEXT, lambda x: re.fullmatch("[0-9a-f]{40}", x.lower()) is not None), "backend": (None, TEXT, lambda x: True),
+    "temperature": (1.0, NUMBER, lambda x: x >= 0), "top_p": (1.0, NUMBER, lambda x: 0 < x <= 1), "min_p": (0.0, NUMBER, lambda x: 0 <= x <= 1), "top_k": (-1, WHOLE, lambda x: x == -1 or x >= 1),
+    "max_tokens": (2048, WHOLE, lambda x: x >= 1), "context_window": (8192, WHOLE, lambda x: x >= 1), "workers": (1, WHOLE, lambda x: x >= 1),
+    "max_retries": (2, WHOLE, lambda x: x >= 0), "seed": (42, WHOLE, lambda x: x >= 0), "timeout": (600.0, NUMBER, lambda x: x > 0),
+}
+
+
+def resolved_settings(given: dict) -> dict:
+    """All settings with their defaults, or an error for one that is unknown, missing or out of its bounds."""
+    if extra := set(given) - set(SETTINGS):
+        raise ValueError(f"unknown settings: {sorted(extra)}")
+    out = {k: given.get(k, default) for k, (default, _, _) in SETTINGS.items()}
+    for key, (_, kind, holds) in SETTINGS.items():
+        value = out[key]
+        good = isinstance(value, str) and value.strip() != "" if kind == TEXT else not isinstance(value, bool) and isinstance(value, int if kind == WHOLE else int | float) and math.isfinite(value)
+        if not good or not holds(value):
+            raise ValueError(f"{key} can't be {value!r}")
+    if out["max_tokens"] >= out["context_window"]:
+        raise ValueError("max_tokens leaves no room for a prompt")
+    return out | {"model_revision": out["model_revision"].lower()}
+
+
+def prompt_sizes(requests: DataFrame, count: Callable[[list[dict]], int], max_tokens: int, window: int) -> DataFrame:
+    """(request_id, n_tokens, fits): tokens of whole prompts by a tokenizer that the caller names, counted by tasks;
+    a prompt that doesn't leave max_tokens of the window is reported, never cut."""
+
+    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(m) for m in batch.column(1).to_pylist()], pa.int64())], names=["request_id", "n_tokens"])
+
+    counted = requests.select("request_id", "messages").mapInArrow(sizes, "request_id string, n_tokens long")
+    return counted.withColumn("fits", F.col("n_tokens") + max_tokens <= window)
+
+
+def checked_prompts(requests: DataFrame, count: Callable[[list[dict]], int], max_tokens: int, window: int) -> dict:
+    """Number of prompts and the longest, or an error if one doesn't fit."""
+    r = prompt_sizes(requests, count, max_tokens, window).agg(F.count("*").alias("n"), F.max("n_tokens").alias("most"), F.count_if(~F.col("fits")).alias("over")).first()
+    if r["over"]:
+        raise ValueError(f"{r['over']} prompts don't fit; the longest has {r['most']} tokens, with {max_tokens} more of {window}")
+    return {"n_requests": r["n"], "max_input_tokens": r["most"] or 0, "max_tokens": max_tokens, "context_window": window}
+
+
 def bundle_complete(requests: DataFrame, n_domains: int, patient: str = "patient_id", domain: str = "disorder", profile: str = "profile") -> DataFrame:
     """(patient, n, n_domains, n_profiles, complete): every domain once, one profile."""
     p = F.to_json(F.col(profile)) if isinstance(requests.schema[profile].dataType, requests.schema.__class__) else F.col(profile)
@@ -111,7 +185,8 @@ def response_table(success: DataFrame, instrument: Instrument = SURVEY, patient:
 
 
 def job_matrix(models: DataFrame, seeds: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Models, seeds and conditions of a study where the condition names the model (array column models). A study's
-    configuration is a handful of rows a side; the condition's own list joins it with models, seeds are an array."""
-    listed = conditions.select("condition", F.explode("models").alias("model"))
-    return listed.join(models, "model").withColumn("seed", F.explode(F.lit(sorted(r["seed"] for r in seeds.collect())))).select("model", "seed", "condition")
+    """Models, seeds and conditions of a study where the condition names the model (array column models). Each condition
+    that a model is in takes every seed: the seeds, a handful, are gathered to a row by an aggregate."""
+    listed = conditions.select("condition", F.explode("models").alias("model")).join(models, "model").withColumn("_all", F.lit(0))
+    every = seeds.agg(F.sort_array(F.collect_set("seed")).alias("seeds")).withColumn("_all", F.lit(0))
+    return listed.join(every, "_all").select("model", F.explode("seeds").alias("seed"), "condition")

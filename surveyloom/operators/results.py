@@ -18,6 +18,40 @@ def condition(regime: Column, context: Column, dependence: Column) -> Column:
     return F.concat_ws(":", regime, F.coalesce(context, F.lit("baseline")), F.when(dependence == "independent", F.lit("independent")))
 
 
+def fills(rows: DataFrame) -> DataFrame:
+    """Evaluation rows with what they leave open: a run 'real' is real in model, regime and context, with ratio 0; a null
+    context is 'baseline', a null domain 'all_variables', and the targeted domains are the eligible ones. Utility rows
+    of other runs have ratio 1 where none is given. Adds `condition`."""
+    real = F.col("run") == "real"
+    own = {c: F.when(real, F.lit("real")).otherwise(F.col(c)) for c in ("model", "regime", "context")}
+    ratio = F.when(real, F.lit(0.0)).otherwise(F.coalesce(F.col("ratio").cast("double"), F.when(F.col("family") == "utility_repeat", F.lit(1.0))))
+    domain = F.coalesce("domain", F.lit("all_variables"))
+    out = rows.withColumns(own | {"ratio": ratio, "domain": F.when(domain == "targeted_domains", F.lit("eligible_domains")).otherwise(domain)})
+    return out.withColumn("context", F.coalesce("context", F.lit("baseline"))).withColumn("condition", condition(F.col("regime"), F.col("context"), F.col("dependence")))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Adds the columns of a small table of runs by their key; rows of a run that isn't there have nulls."""
+    return null_safe_join(rows, table, [key], "left")
+
+
+def refit_rounds(best: str) -> Column:
+    """The median of the best rounds, rounded up, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.percentile(best, F.lit(0.5))).cast("long"))
+
+
+def first_best(candidate: str, score: str, order: str) -> Column:
+    """The candidate with the highest score; of equals the one that comes first by order."""
+    return F.max_by(F.col(candidate), F.struct(F.col(score), -F.col(order)))
+
+
+def declared_among(rows: DataFrame, by: str, value: str, declared: list[str]) -> DataFrame:
+    """(by, n_missing, is_subset): of the declared values, a handful, how many a group lacks. Only they are gathered."""
+    has = rows.groupBy(by).agg(*(F.bool_or(F.col(value) == x).alias(f"_{i}") for i, x in enumerate(declared)))
+    missing = sum((1 - F.coalesce(F.col(f"_{i}"), F.lit(False)).cast("int") for i in range(len(declared))), F.lit(0))
+    return has.select(by, missing.alias("n_missing")).withColumn("is_subset", F.col("n_missing") == 0)
+
+
 def agreed_references(rows: DataFrame, identity: list[str], value: str = "value", within: float = 1e-12) -> DataFrame:
     """(identity, n, spread, agrees): repeated reference rows have to have one value."""
     return rows.groupBy(*identity).agg(F.count("*").alias("n"), (F.max(value) - F.min(value)).alias("spread")).withColumn("agrees", F.coalesce(F.col("spread") <= within, F.lit(True)))

@@ -652,6 +652,73 @@ def instrument_fingerprint(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.count("*").alias("n")).select(F.lit(value).alias("sha256"), "n")
 
 
+@query("select o_orderpriority, count(*) as n, sha256(count(*) || ':' || sum(('0x' || substr(md5(o_orderkey::varchar), 1, 15))::bigint)::varchar) as fingerprint from orders group by 1")
+def split_fingerprints(spark, sf_dir):
+    return resampling.split_fingerprint(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderpriority"], "o_orderkey")
+
+
+@query("select o_orderkey, 0::bigint as copy from orders order by md5('42/t/' || o_orderkey), o_orderkey limit 1000")
+def matched_subset(spark, sf_dir):
+    return resampling.subset(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey", 1000, 42, "t")
+
+
+@query("with s as (select o_orderkey from orders order by md5('42/t/' || o_orderkey), o_orderkey limit 1000) select o_orderkey from orders where o_orderkey not in (select o_orderkey from s)")
+def unselected(spark, sf_dir):
+    """Positions that a subset leaves."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return resampling.unselected(rows, resampling.subset(rows, "o_orderkey", 1000, 42, "t"), "o_orderkey")
+
+
+@query(f"with cohort as ({MISSING}), x as (select ID, case when ID % 7 = 0 then -1.0 when ID % 11 = 0 then null else W1_age_r end as age, case when ID % 5 = 0 then 3 when ID % 13 = 0 then null else W1_sex_r end as sex from cohort) select ID, (age is null or age >= 0) and coalesce(sex in (1, 2), false) as valid from x")
+def demographics(spark, sf_dir):
+    age = F.when(F.col("ID") % 7 == 0, F.lit(-1.0)).when(F.col("ID") % 11 != 0, F.col("W1_age_r"))
+    sex = F.when(F.col("ID") % 5 == 0, F.lit(3.0)).when(F.col("ID") % 13 != 0, F.col("W1_sex_r"))
+    return cohort(spark, sf_dir, True).select("ID", requests.demographics_valid(age, sex).alias("valid"))
+
+
+_RUNS = [("O", "27b", 42), ("F", "4b", 43)]
+
+
+@query("with k as (select * from (values ('O', '27b', 42), ('F', '4b', 43)) k(o_orderstatus, model, seed)) select o_orderkey, o_orderstatus, model, seed from orders left join k using (o_orderstatus)")
+def run_lookup(spark, sf_dir):
+    table = spark.createDataFrame(_RUNS, "o_orderstatus string, model string, seed int")
+    return results.looked_up(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), table, "o_orderstatus")
+
+
+_EVALUATION = "select o_orderkey, case when o_custkey % 9 = 0 then 'real' else 'r' || o_orderstatus end as run, case when o_custkey % 2 = 0 then '4b' end as model, 'natural' as regime, case when o_custkey % 3 = 0 then 'full' end as context, case o_custkey % 5 when 0 then null when 1 then 'targeted_domains' else 'panic' end as domain, case when o_custkey % 4 = 0 then 'fidelity' else 'utility_repeat' end as family, case when o_custkey % 7 = 0 then 2.0 end as ratio, case when o_custkey % 6 = 0 then 'independent' end as dependence from orders"
+
+
+@query(
+    f"with x as ({_EVALUATION}), y as (select o_orderkey, run, case when run = 'real' then 'real' else model end as model, case when run = 'real' then 'real' else regime end as regime, coalesce(case when run = 'real' then 'real' else context end, 'baseline') as context, "
+    "case coalesce(domain, 'all_variables') when 'targeted_domains' then 'eligible_domains' else coalesce(domain, 'all_variables') end as domain, family, (case when run = 'real' then 0 else coalesce(ratio, case when family = 'utility_repeat' then 1 end) end)::double as ratio, dependence from x) "
+    "select *, regime || ':' || context || case when dependence = 'independent' then ':independent' else '' end as condition from y"
+)
+def evaluation_fills(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("_orders")
+    return results.fills(spark.sql(_EVALUATION.replace("from orders", "from _orders")))
+
+
+@query("select o_orderpriority, greatest(1, ceil(median(o_custkey % 50)))::bigint as rounds, bool_or(o_totalprice > 400000) as support_restricted from orders group by 1")
+def best_rounds(spark, sf_dir):
+    """Rounds to refit with, and whether any fold lacked a tier."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("best", F.col("o_custkey") % 50)
+    return rows.groupBy("o_orderpriority").agg(results.refit_rounds("best").alias("rounds"), F.bool_or(F.col("o_totalprice") > 400000).alias("support_restricted"))
+
+
+@query("select o_orderstatus, arg_max(o_orderkey, (o_custkey % 100, -o_orderkey)) as chosen from orders group by 1")
+def first_best(spark, sf_dir):
+    """The first of the candidates with the best score."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("score", F.col("o_custkey") % 100)
+    return rows.groupBy("o_orderstatus").agg(results.first_best("o_orderkey", "score", "o_orderkey").alias("chosen"))
+
+
+@query("with a as (select o_custkey as c, list(distinct o_orderpriority) as p from orders group by 1) select c as o_custkey, len(list_filter(['1-URGENT', '2-HIGH'], lambda x: not list_contains(p, x)))::int as n_missing, len(list_filter(['1-URGENT', '2-HIGH'], lambda x: not list_contains(p, x))) = 0 as is_subset from a")
+def set_relations(spark, sf_dir):
+    """Whether what a run declares is among what it has."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return results.declared_among(rows, "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
 # --- models, prompts and the journal: rows only ---
 
 

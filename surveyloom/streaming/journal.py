@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from surveyloom.functions.responses import parse
 from surveyloom.functions.scalars import attempt_seed
 from surveyloom.operators.requests import latest_success, remaining
 
-ENTRY = "request_id string, attempt int, seed long, raw_completion string, valid boolean, error string, scores map<string,int>, achieved_total int, achieved_tier string, tier_match boolean, retryable boolean"
+ENTRY = "request_id string, attempt int, seed long, raw_completion string, valid boolean, error string, scores map<string,int>, achieved_total int, achieved_tier string, tier_match boolean, retryable boolean, elapsed_s double"
 
 #: HTTP statuses after which a request may be tried again; 5xx are, too.
 RETRYABLE = frozenset({408, 409, 429})
@@ -45,15 +46,16 @@ def attempted(requests: DataFrame, provider: Callable[[dict, int], str], seed: i
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
-                raw, error, retry = None, None, True
+                raw, error, retry, began = None, None, True, time.perf_counter()
                 try:
                     raw = provider(r, r["seed"])
                 except ProviderError as e:
                     error, retry = str(e), e.retryable
+                took = time.perf_counter() - began
                 scores, why = parse(raw, SURVEY[r["disorder"]]) if error is None else (None, error)
                 total = None if scores is None else sum(scores.values())
                 tier = None if total is None else f"tier_{SURVEY[r['disorder']].tier_of_total(total)}"
-                out.append((r["request_id"], r["attempt"], r["seed"], raw, scores is not None, why, scores, total, tier, None if tier is None else tier == r["tier_code"], retry))
+                out.append((r["request_id"], r["attempt"], r["seed"], raw, scores is not None, why, scores, total, tier, None if tier is None else tier == r["tier_code"], retry, took))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ENTRY.replace("map<string,int>", "map").split(", ")]).astype({"achieved_total": "Int32"})
 
     return rows.mapInPandas(ask, ENTRY)
@@ -77,23 +79,31 @@ def checked_journal(journal: DataFrame, requests: DataFrame, seed: int) -> DataF
     return own.where(F.col("seed") == attempt_seed(F.lit(seed), F.col("request_id"), F.col("attempt")))
 
 
-def run(spark: SparkSession, requests: DataFrame, journal_path: str, provider: Callable[[dict, int], str], seed: int, retries: int = 2) -> DataFrame:
+def run(spark: SparkSession, requests: DataFrame, journal_path: str, provider: Callable[[dict, int], str], seed: int, retries: int = 2, extra: int = 0) -> DataFrame:
     """Attempts all that remains until every request has a success, has failed for good or has had its tries; each
-    round is appended to the journal under journal_path before the next begins. Returns the latest successes."""
+    round is appended to the journal under journal_path before the next begins. Returns the latest successes. extra:
+    tries beyond the others for what has used those up, when a run is taken up again; a failure for good stays one."""
+    if isinstance(extra, bool) or not isinstance(extra, int) or extra < 0:
+        raise ValueError("extra attempts are a whole number from 0 on")
 
     def journal() -> DataFrame:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(journal_path)
         there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         return spark.read.schema(ENTRY).parquet(journal_path) if there else spark.createDataFrame([], ENTRY)
 
-    for _ in range(retries + 1):
-        left = remaining(requests, journal(), retries + 1)
+    for _ in range(retries + 1 + extra):
+        left = remaining(requests, journal(), retries + 1 + extra)
         if left.isEmpty():
             break
         attempted(left, provider, seed).write.mode("append").parquet(journal_path)
     return latest_success(journal(), "request_id", "attempt", "valid", ["scores", "achieved_total", "achieved_tier", "tier_match"])
 
 
+def effort(journal: DataFrame) -> DataFrame:
+    """(n_attempts, n_requests, seconds): what the attempts of a journal took."""
+    return journal.agg(F.count("*").alias("n_attempts"), F.count_distinct("request_id").alias("n_requests"), F.coalesce(F.sum("elapsed_s"), F.lit(0.0)).alias("seconds"))
+
+
 def progress_stream(spark: SparkSession, journal_path: str) -> DataFrame:
     """A stream of (valid, n) over the files that are appended to a journal."""
     return spark.readStream.schema(ENTRY).parquet(journal_path).groupBy("valid").agg(F.count("*").alias("n"))

@@ -154,3 +154,55 @@ def test_curve(people):
     twice = got.where("protocol = 'TSTR_SYNTH_RESAMPLED' and ratio = 2").first()
     assert twice["n_unique_sources"] <= twice["n_real_train"] < twice["n_added"]
     assert got.where("policy = 'same rows' and ratio > 1").isEmpty()
+
+
+def test_settings_and_prompt_sizes(spark):
+    from surveyloom.operators import requests
+
+    least = {"model": "m", "model_revision": "A" * 40, "backend": "b"}
+    got = requests.resolved_settings(least)
+    assert (got["model_revision"], got["max_retries"], got["top_k"]) == ("a" * 40, 2, -1)
+    for bad in ({}, least | {"x": 1}, least | {"model_revision": "main"}, least | {"temperature": True}, least | {"top_p": 0}, least | {"top_k": 0}, least | {"seed": -1}, least | {"timeout": float("nan")}, least | {"max_tokens": 8192}, least | {"workers": 1.0}):
+        with pytest.raises(ValueError):
+            requests.resolved_settings(bad)
+    rows = spark.createDataFrame([("a", [("user", "x y z")]), ("b", [("system", "q"), ("user", "r")])], "request_id string, messages array<struct<role:string,content:string>>")
+
+    def count(messages):
+        return sum(len(m["content"].split()) for m in messages)
+
+    assert requests.checked_prompts(rows, count, 5, 8) == {"n_requests": 2, "max_input_tokens": 3, "max_tokens": 5, "context_window": 8}
+    assert {r["request_id"]: r["fits"] for r in requests.prompt_sizes(rows, count, 5, 7).collect()} == {"a": False, "b": True}
+    with pytest.raises(ValueError, match="1 prompts"):
+        requests.checked_prompts(rows, count, 5, 7)
+
+
+def test_documents_are_checked():
+    from surveyloom.functions.instrument import SURVEY
+    from surveyloom.operators import requests
+
+    good = {d.name: {"about": ["x"], "items": [{"key": c, "label": c} for c in d.items]} for d in SURVEY.domains}
+    assert requests.checked_documents(good) is good
+    panic = good["panic"]
+    for bad in ({k: v for k, v in good.items() if k != "panic"}, good | {"panic": panic | {"about": []}}, good | {"panic": panic | {"items": panic["items"][::-1]}}, good | {"panic": panic | {"items": panic["items"][:-1]}}, good | {"panic": panic | {"items": [i | {"label": " "} for i in panic["items"]]}}):
+        with pytest.raises(ValueError):
+            requests.checked_documents(bad)
+
+
+def test_extra_attempts(spark, tmp_path):
+    from surveyloom.streaming import journal
+
+    rows = spark.createDataFrame([("p:panic", "panic", 4.0, "tier_0")], "request_id string, disorder string, score_target double, tier_code string")
+    path = str(tmp_path / "j")
+
+    def bad(request, seed):
+        return "no"
+
+    assert journal.run(spark, rows, path, bad, 1, retries=1).isEmpty()
+    assert journal.run(spark, rows, path, bad, 1, retries=1).isEmpty()
+    assert journal.effort(spark.read.schema(journal.ENTRY).parquet(path)).first()[:2] == (2, 1)
+    assert journal.run(spark, rows, path, bad, 1, retries=1, extra=2).isEmpty()
+    done = journal.effort(spark.read.schema(journal.ENTRY).parquet(path)).first()
+    assert done["n_attempts"] == 4
+    assert done["seconds"] >= 0
+    with pytest.raises(ValueError, match="extra"):
+        journal.run(spark, rows, path, bad, 1, extra=-1)
