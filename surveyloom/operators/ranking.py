@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def group_rank(rows: DataFrame, group: list[str], key: str, tie: list[str], digits: int = 2, name: str = "rank") -> DataFrame:
+#: Rows of a group that one task ranks.
+RANGE_ROWS = 100_000
+
+
+def group_rank(rows: DataFrame, group: list[str], key: str, tie: list[str], digits: int | None = None, name: str = "rank") -> DataFrame:
     """Adds the rank, from 1, of each row in its group by a hexadecimal key (md5, say), then by tie.
 
     The key's leading digits cut a group into ranges of about equal size; a row's rank is its place in the range and
-    the number of rows in the ranges before. A group with any share of all rows is thus ranked by 16 ** digits tasks.
+    the number of rows in the ranges before. digits: as many as keep a range of a group that has all rows near
+    RANGE_ROWS, from the number of rows, which is counted; so ranges stay bounded whatever the table's size.
     """
+    if digits is None:
+        digits = max(2, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))
     cut = rows.withColumn("_range", F.substring(key, 1, digits))
     counts = cut.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -133,6 +133,15 @@ def test_bin_labels(spark):
     assert [r["b"] and tuple(r["b"]) for r in rows.select(age_bin(F.col("bin")).alias("b")).collect()] == [(18, 18), (18, 23), None, None, None, None, None]
 
 
+def test_ranges_grow_with_the_table(spark, monkeypatch):
+    """A range holds a bounded number of rows, and ranks are the same."""
+    rows = spark.range(4000).selectExpr("id", "'one' as g", "md5(cast(id as string)) as k")
+    plain = {r["id"]: r["rank"] for r in ranking.group_rank(rows, ["g"], "k", ["id"]).collect()}
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 1)
+    assert {r["id"]: r["rank"] for r in ranking.group_rank(rows, ["g"], "k", ["id"]).collect()} == plain
+    assert sorted(plain.values()) == list(range(1, 4001))
+
+
 def test_ranks_of_a_hot_group(spark):
     rows = spark.range(3000).selectExpr("id", "if(id < 2500, 'hot', 'cold') as g", "md5(cast(id as string)) as k")
     got = ranking.group_rank(rows, ["g"], "k", ["id"]).collect()
