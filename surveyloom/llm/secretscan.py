@@ -49,8 +49,8 @@ ADDED = (
     Rule("google", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?<![A-Za-z0-9])[sr]k_live_[A-Za-z0-9]{16,}+"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("url", r"(?<![a-z])[a-z]{2,12}://[A-Za-z0-9._-]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("url", r"(?<![a-z])[a-z]{2,12}://[A-Za-z0-9._-]++:[^\s:/@]{3,}+@"),
 )
 RULES = BASE + ADDED
 

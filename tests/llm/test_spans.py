@@ -83,7 +83,7 @@ def test_trigram_queries():
 @pytest.mark.parametrize("rule", secretscan.RULES, ids=lambda r: r.kind)
 def test_index_loses_no_match(rule):
     samples = ["password: hunter2hunter2", "API_KEY='abcdefghijklmn'", "AKIA" + "A" * 16, "0123456789abcdef0", "ghp_" + "a1" * 20, "glpat-" + "x" * 20, "xoxb-1234567890ab", "AIza" + "b" * 35, "sk_live_" + "c" * 20,
-               "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "-----BEGIN RSA PRIVATE KEY-----", "https://user:secretpw@host", "nothing", ""]
+               "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "-----BEGIN RSA PRIVATE KEY-----", "https://user:secretpw@host", "ftp://" + "u" * 90 + ":" + "p" * 200 + "@host", "nothing", ""]
     raw = [s.encode() for s in samples]
     query = secretscan.trigram_query(rule.pattern, rule.flags)
     got = set(secretscan.candidates(query, secretscan.BlockIndex(secretscan.trigrams(query) or {b"zzz"}).postings(raw), len(raw)).tolist())
