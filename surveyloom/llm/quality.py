@@ -192,12 +192,15 @@ def sampled_labels(labels: DataFrame, label_col: str = "quality", most: int = SA
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y")).where("y is not null and doc_id is not null").where(crc_mod("doc_id", 4) != 2)
     n = rows.count()
     share = int(min(1.0, 0.9 * most / max(n, 1)) * (1 << 30))
-    return staged(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).limit(most), "labels")
+    return staged(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most), "labels")
 
 
 def fit(features: DataFrame, chosen: DataFrame, most: int = SAMPLE) -> Network:
-    """Trains on the chosen labels (see sampled_labels), at most `most` rows of 12 bytes, which go to every task."""
-    got = features.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "y").limit(2 * most).collect()
+    """Trains on the chosen labels (see sampled_labels), at most `most` rows of 12 bytes, which go to every task. Where ids
+    are repeated the documents may be more: of those with a label, 2 * most at most are taken, by a hash of id, features
+    and label, so that the choice doesn't depend on tasks."""
+    own = features.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "y")
+    got = own.orderBy(F.xxhash64("doc_id", "features", "y"), "doc_id", "features", "y").limit(2 * most).collect()
     got.sort(key=lambda r: (r["doc_id"], r["features"], r["y"]))
     order = np.random.default_rng(11).permutation(len(got))
     x = np.array([np.frombuffer(r["features"], np.float32) for r in got]).reshape(len(got), FEATURES)[order]
