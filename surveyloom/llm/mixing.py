@@ -25,21 +25,6 @@ from surveyloom.llm.common import arrow, staged
 
 BLOCK_DOCS, TEMPER = 16, 0.5
 RANGE_ROWS, RUN = 1 << 20, 1 << 14
-GROUPS = 512  # of no effect; tests set it
-
-
-def quotas(weights: list[float], slots: int) -> list[int]:
-    """Whole shares of the slots, at least one each, by largest remainders."""
-    total = sum(weights)
-    exact = [w / total * slots for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    for i in sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i)):
-        if sum(out) < slots:
-            out[i] += 1
-    while sum(out) > slots:  # the ones that were raised to one are taken from the largest
-        i = max(range(len(out)), key=lambda i: out[i])
-        out[i] -= 1
-    return out
 
 
 def placed(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int]]:
@@ -91,25 +76,6 @@ def placed(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int,
             heapq.heappush(waiting, (release(s, done[s]), s))
 
 
-def edf(shares: list[int]) -> list[list[int]]:
-    """Slots of each source over one period of sum(shares) slots."""
-    slots: list[list[int]] = [[] for _ in shares]
-    for t, (s, _, _) in enumerate(placed(shares, shares)):
-        slots[s].append(t)
-    return slots
-
-
-def schedule(blocks: list[int], weights: list[float]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, phase, first block, end block, first slot, period, slots in a period) until all blocks are placed. The
-    weights' shares needn't be whole anywhere, so a period is a whole phase."""
-    slots: dict[tuple[int, int], list[int]] = {}
-    first: dict[tuple[int, int], int] = {}
-    for t, (s, b, phase) in enumerate(placed(blocks, weights)):
-        first.setdefault((s, phase), b)
-        slots.setdefault((s, phase), []).append(t)
-    return [(s, phase, first[s, phase], first[s, phase] + len(x), 0, sum(blocks), x) for (s, phase), x in sorted(slots.items())]
-
-
 def _plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, block, phase, slot) of rows (source, blocks, weight), in runs of slots."""
     names, blocks, weights = [], [], []

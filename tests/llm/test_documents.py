@@ -311,42 +311,56 @@ def test_the_memo_may_be_full():
 
 @pytest.mark.parametrize("seed", range(20))
 def test_schedule_keeps_to_the_weights(seed):
+    """Against the weights themselves: until a source runs out each has had its share of every slot, to within a block."""
     rng = random.Random(seed)
     n = rng.randint(1, 12)
     blocks, weights = [rng.randint(1, 400) for _ in range(n)], [rng.uniform(0.01, 5) for _ in range(n)]
-    slots = {}
-    for s, _, first, end, base, period, pattern in mixing.schedule(blocks, weights):
-        for b in range(first, end):
-            j = b - first
-            slots[base + j // len(pattern) * period + pattern[j % len(pattern)]] = (s, b)
-    assert sorted(slots) == list(range(sum(blocks)))
-    assert Counter(s for s, _ in slots.values()) == Counter({s: b for s, b in enumerate(blocks)})
-    shares = mixing.quotas(weights, 256)
-    assert sum(shares) == 256
+    run = list(mixing.placed(blocks, weights))
+    assert Counter(s for s, _, _ in run) == Counter({s: b for s, b in enumerate(blocks)})
+    assert all([b for s, b, _ in run if s == i] == list(range(blocks[i])) for i in range(n))
     count = [0] * n
-    flat = sorted((t, s) for s, x in enumerate(mixing.edf(shares)) for t in x)
-    for t, s in flat:
+    for t, (s, _, phase) in enumerate(run):
+        if phase or max(c >= b for c, b in zip(count, blocks, strict=True)):
+            break
         count[s] += 1
-        assert all(abs(c - (t + 1) * q / 256) < 1 for c, q in zip(count, shares, strict=True))
+        assert all(abs(c - (t + 1) * w / sum(weights)) < 1 + 1e-9 for c, w in zip(count, weights, strict=True))
+    ends = sorted(b / w for b, w in zip(blocks, weights, strict=True))
+    for end in ends:  # at the virtual time of each end too
+        t = sum(min(b, end * w) for b, w in zip(blocks, weights, strict=True))
+        had = Counter(s for s, _, _ in run[: round(t)])
+        assert all(abs(had[i] - min(b, end * w)) < 2 for i, (b, w) in enumerate(zip(blocks, weights, strict=True)))
 
 
 def test_mixture_table(documents):
-    rows = mixing.mixed(documents, {"src0": 5.0}, block=4).collect()
+    """Unequal weights over the whole table, against a plain count of slots; each source in the order of its hash."""
+    weights = {"src0": 5.0, "src1": 0.5}
+    rows = sorted(mixing.mixed(documents, weights, block=4).collect(), key=lambda r: r["position"])
     source = {r["doc_id"]: r["source"] for r in documents.collect()}
     assert {r["doc_id"]: r["source"] for r in rows} == source
     assert len(rows) == len(source)
     assert len({r["position"] for r in rows}) == len(rows)
-    ranks = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r["position"]):
-        ranks[r["source"]].append(r["block"])
-        assert r["position"] // 4 == r["slot"]
-    assert all(x == sorted(x) for x in ranks.values())
     n = Counter(source.values())
-    want = {s: set(t for s2, _, f, e, b, p, pat in mixing.schedule([-(-n[k] // 4) for k in sorted(n)], [5.0 if k == "src0" else 5.0 for k in sorted(n)]) if s2 == i for t in (b + j // len(pat) * p + pat[j % len(pat)] for j in range(e - f))) for i, s in enumerate(sorted(n))}
-    assert {s: {r["slot"] for r in rows if r["source"] == s} for s in n} == want
-
-
-def test_mixture_odd(odd, none, monkeypatch):
+    names = sorted(n)
+    w = {s: weights.get(s, 0.5) for s in names}
+    slots = {}
+    for r in rows:
+        assert r["position"] // 4 == r["slot"]
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    assert sorted(slots) == list(range(sum(-(-k // 4) for k in n.values())))
+    count = Counter()
+    for t in range(len(slots)):
+        if any(count[s] >= -(-n[s] // 4) for s in names):
+            break
+        count[slots[t][0]] += 1
+        assert all(abs(count[s] - (t + 1) * w[s] / sum(w.values())) < 1 + 1e-9 for s in names)
+    assert sum(count.values()) > 5
+    key = {r["doc_id"]: r["k"] for r in documents.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    for s in names:
+        own = [key[r["doc_id"]] & (1 << 64) - 1 for r in rows if r["source"] == s]
+        assert own == sorted(own)
+
+
+def test_mixture_odd(odd, none):
     got = mixing.source_mixture(odd).collect()
     assert Counter(repr(r["doc_id"]) for r in got) == Counter(repr(r["doc_id"]) for r in odd.collect())
     assert len({r["position"] for r in got}) == len(got)
@@ -354,8 +368,8 @@ def test_mixture_odd(odd, none, monkeypatch):
     kept = mixing.in_mixed_order(odd)
     assert kept.columns == odd.columns
     assert kept.count() == odd.count()
-    monkeypatch.setattr(mixing, "GROUPS", 2)
-    assert mixing.source_mixture(odd).count() == odd.count()
+    weighted = mixing.mixed(odd, {"a": 1.0, "b": -3.0}).collect()  # no weight for the null source, a bad one for b
+    assert Counter(repr(r["doc_id"]) for r in weighted) == Counter(repr(r["doc_id"]) for r in odd.collect())
 
 
 def test_licenses(spark, odd, none):
