@@ -110,7 +110,16 @@ def rank_correlation(table: DataFrame, instrument: Instrument = SURVEY, transfor
 
 
 def cohort_summary(table: DataFrame, instrument: Instrument = SURVEY) -> dict:
-    """The aggregates that profiles are sampled from; every part is a small aggregate."""
+    """The aggregates that profiles are sampled from; every part is a small aggregate. The table is read once: totals,
+    age and sex are kept while the parts are made."""
+    narrow = with_totals(table, instrument, (instrument.age, instrument.sex)).persist()
+    try:
+        return _summary(narrow, instrument)
+    finally:
+        narrow.unpersist()
+
+
+def _summary(table: DataFrame, instrument: Instrument) -> dict:
     names = instrument.names
     corr = {(r["a"], r["b"]): r["r"] for r in rank_correlation(table, instrument).withColumn("r", half_even(F.col("r"), 2)).collect()}
     if any(v is None for v in corr.values()) or not corr:
