@@ -17,9 +17,10 @@ BLOCK = 2048
 LARGE = 200_000
 
 
-def distinct_rows(codes: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, codes, weight): distinct code rows with their number."""
-    return codes.groupBy(F.array(*(F.col(c).cast("int") for c in columns)).alias("codes")).agg(F.count("*").alias("weight")).withColumn("id", F.md5(F.array_join("codes", ",")))
+def distinct_rows(codes: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, id, codes, weight): distinct code rows with their number. Pairs read them several times: stage them first
+    if codes are long to make."""
+    return codes.groupBy(*(by or []), F.array(*(F.col(c).cast("int") for c in columns)).alias("codes")).agg(F.count("*").alias("weight")).withColumn("id", F.md5(F.array_join("codes", ",")))
 
 
 def blocked(rows: DataFrame, side: str, blocks: int, others: int) -> DataFrame:
@@ -75,12 +76,15 @@ def mean_root(hist: DataFrame, width: int, rows: int | None = None) -> float:
 
 def energy_distance(real: DataFrame, synthetic: DataFrame, columns: list[str], large: bool = False) -> float:
     """Root of twice the mean distance between less those within, not below 0; each table needs two rows."""
-    n, m = real.count(), synthetic.count()
+    return energy(distinct_rows(real, columns), distinct_rows(synthetic, columns), len(columns), large)
+
+
+def energy(x: DataFrame, y: DataFrame, width: int, large: bool = False) -> float:
+    """The energy distance of tables from distinct_rows."""
+    n, m = (t.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first()["n"] for t in (x, y))
     if min(n, m) < 2:
         raise ValueError("each table needs two rows")
-    x, y = distinct_rows(real, columns), distinct_rows(synthetic, columns)
-    w = len(columns)
-    return max(0.0, 2 * mean_root(pair_histogram(x, y, large), w) - mean_root(pair_histogram(x, x, large), w, n) - mean_root(pair_histogram(y, y, large), w, m)) ** 0.5
+    return max(0.0, 2 * mean_root(pair_histogram(x, y, large), width) - mean_root(pair_histogram(x, x, large), width, n) - mean_root(pair_histogram(y, y, large), width, m)) ** 0.5
 
 
 def two_nearest(rows: DataFrame, targets: DataFrame, leave_out: bool = False, large: bool = False) -> DataFrame:
