@@ -46,13 +46,11 @@ def pooled(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def scope_means(metrics: DataFrame, by: list[str], values: list[str], scopes: dict[str, list[str]], domain: str = "domain") -> DataFrame:
-    """(by, scope, values): unweighted means over the domains of each scope, for groups that have all of them."""
-    out = None
-    for name, domains in scopes.items():
-        made = metrics.where(F.col(domain).isin(domains)).groupBy(*by).agg(F.count_distinct(domain).alias("_n"), *(F.avg(v).alias(v) for v in values)).where(F.col("_n") == len(set(domains)))
-        made = made.select(*by, F.lit(name).alias("scope"), *values)
-        out = made if out is None else out.unionByName(made)
-    return out
+    """(by, scope, values): unweighted means over the domains of each scope, for groups that have all of them. The
+    metrics are made once: each row goes to the scopes that its domain is in."""
+    own = F.array(*(F.when(F.col(domain).isin(domains), F.struct(F.lit(name).alias("scope"), F.lit(len(set(domains))).alias("_all"))) for name, domains in scopes.items()))
+    rows = metrics.select(*by, domain, *values, F.explode(F.array_compact(own)).alias("_s")).select(*by, domain, *values, "_s.*")
+    return rows.groupBy(*by, "scope", "_all").agg(F.count_distinct(domain).alias("_n"), *(F.avg(v).alias(v) for v in values)).where("_n = _all").select(*by, "scope", *values)
 
 
 def tiers_pooled(counts: DataFrame, by: list[str], domains: list[str], domain: str = "domain") -> DataFrame:
