@@ -15,12 +15,12 @@ document's other words are joined with the table.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import compress, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,30 +44,132 @@ def _code(word: bytes) -> int:
 
 
 def encoded(text: bytes, memo: Memo) -> tuple[list[bytes], np.ndarray]:
-    """Lower-case words, and by token its hash and class in one number; the end token is number 0."""
+    """Lower-case words, and by token its hash and class in one number; the end token is number 0. What Tokens and
+    word_codes give for many texts at once, written out for one."""
     words = text.lower().split()
     out = np.zeros(len(words) + 1, dtype=np.int64)
     out[:-1] = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
     return words, out
 
 
+#: Bytes of text whose tokens are held at once.
+PIECE = 4 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), 32]] = True
+#: Step of the crc32 by its lowest byte, and classes by the first two bytes (one byte: the second half's).
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = (_CRC >> 1) ^ np.where(_CRC & 1, np.uint32(0xEDB88320), np.uint32(0))
+_CLASS = np.array([word_class(bytes([i >> 8, i & 255])) for i in range(1 << 16)] + [word_class(bytes([i])) for i in range(256)], dtype=np.int64)
+#: Longer words are hashed one by one.
+LONG = 32
+
+
+class Tokens(NamedTuple):
+    """Tokens of some documents: lower-case words one after the other, and how many each document has."""
+
+    words: pa.BinaryArray
+    counts: np.ndarray
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Where the end tokens are, when each document has one behind its words."""
+        return np.cumsum(self.counts + 1) - 1
+
+    def with_ends(self, values: np.ndarray, end: float) -> np.ndarray:
+        """What belongs to words, with the end tokens' value between."""
+        out = np.empty(len(values) + len(self.counts), dtype=values.dtype)
+        word = np.ones(len(out), dtype=bool)
+        word[self.ends] = False
+        out[word] = values
+        out[self.ends] = end
+        return out
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[slice, Tokens]]:
+    """Tokens of a binary column without nulls, by slices of about PIECE bytes; a longer document is a slice alone."""
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, dtype=np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
+        raw = data.slice(int(at[i]), int(at[j] - at[i])).to_pybytes() if at[j] > at[i] else b""
+        yield slice(i, j), _tokens(np.frombuffer(raw.lower(), dtype=np.uint8), at[i : j + 1] - at[i])
+        i = j
+
+
+def _tokens(raw: np.ndarray, at: np.ndarray) -> Tokens:
+    word = ~_SPACE[raw]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    cut = at[(at > 0) & (at < len(raw))]
+    first[cut], last[cut - 1] = word[cut], word[cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
+    return Tokens(words, np.diff(np.searchsorted(starts, at)))
+
+
+def distinct_words(words: pa.BinaryArray) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Each word's place among the distinct ones, and those."""
+    found = words.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def word_codes(words: pa.BinaryArray) -> np.ndarray:
+    """_code of every word: crc32 a byte of all words at a time, the longest first."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    at = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)
+    size = np.diff(at)
+    short = np.minimum(size, LONG + 1).astype(np.uint8)
+    order = np.argsort(LONG + 1 - short, kind="stable")
+    start = at[:-1][order].astype(np.int64)
+    crc = np.full(len(order), 0xFFFFFFFF, dtype=np.uint32)
+    more = len(order) - np.cumsum(np.bincount(short, minlength=LONG + 2))
+    for k in range(LONG):
+        if not (m := int(more[k])):
+            break
+        c = crc[:m]
+        crc[:m] = _CRC[(c ^ data[start[:m] + k]) & np.uint32(255)] ^ (c >> np.uint32(8))
+    ordered = ~crc
+    for i in range(int(more[LONG])):
+        w = order[i]
+        ordered[i] = zlib.crc32(data[at[w] : at[w + 1]])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = ordered
+    head = data[at[:-1]].astype(np.int64)
+    two = np.where(size > 1, head << 8 | data[np.minimum(at[:-1] + 1, len(data) - 1)], head + (1 << 16))
+    return out * CLASSES + _CLASS[two]
+
+
 BEFORE = 3
 
 
 def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, FEATURES) rows of the table, and classes, of documents one after the other."""
-    pad = np.full(BEFORE, -1)
-    flat = np.concatenate([x for c in codes for x in (pad, c)])
-    word, cls = flat // CLASSES, flat % CLASSES
-    real = np.ones(len(flat), dtype=bool)
-    starts = np.concatenate([[0], np.cumsum([len(c) + BEFORE for c in codes])[:-1]])
+    return laid_out(np.concatenate(codes), np.array([len(c) for c in codes]))
+
+
+def laid_out(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """features() of the codes of documents with so many tokens each; what is of one feature lies together."""
+    real = np.ones(len(codes) + BEFORE * len(sizes), dtype=bool)
+    starts = np.cumsum(sizes + BEFORE) - sizes - BEFORE
     for k in range(BEFORE):
         real[starts + k] = False
+    flat = np.full(len(real), -1)
+    flat[real] = codes
+    word, cls = flat // CLASSES, flat % CLASSES
     one, two = word[2:-1], word[1:-2]
     three = (cls[2:-1] * CLASSES + cls[1:-2]) * CLASSES + cls[:-3]
     mix = np.uint64(0x9E3779B97F4A7C15)
-    h = [(x.astype(np.uint64) * mix >> np.uint64(52)).astype(np.int64) % ROWS + i * ROWS for i, x in enumerate((one, three + 99, two))]
-    return np.stack(h, axis=1)[real[BEFORE:]], cls[real]
+    rows = np.empty((FEATURES, len(codes)), dtype=np.int64)
+    for i, x in enumerate((one, three + 99, two)):
+        rows[i] = (x.view(np.uint64)[real[BEFORE:]] * mix >> np.uint64(52)).view(np.int64) % ROWS + i * ROWS
+    return rows.T, cls[real]
 
 
 def _scores(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -90,29 +192,90 @@ def class_log_probs(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 SLICE = 4096
 
 
-def own_log_probs(table: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each token's own class."""
+#: Products of weights below this are computed again by sums of logarithms.
+LEAST = 1e-25
+
+
+class Weights:
+    """Classes' weights of tokens as products of the exponentials of rows, so that a table is exponentiated, not each
+    token's scores. A row is divided by its greatest number; the bias is in the first feature's rows."""
+
+    def __init__(self):
+        self.exp = np.empty((FEATURES * ROWS, CLASSES), dtype=np.float32)
+        self.made, self.other = (np.empty((SLICE, CLASSES), dtype=np.float32) for _ in range(2))
+
+    def set(self, table: np.ndarray) -> None:
+        self.table = table
+        self.exp[:] = table[:-1]
+        self.exp[:ROWS] += table[-1]
+        self.exp -= self.exp.max(1, keepdims=True)
+        np.exp(self.exp, out=self.exp)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """(tokens, CLASSES), of at most SLICE tokens; overwritten by the next call."""
+        made, other = self.made[: len(rows)], self.other[: len(rows)]
+        np.take(self.exp, rows[:, 0], axis=0, out=made, mode="clip")
+        for i in range(1, FEATURES):
+            made *= np.take(self.exp, rows[:, i], axis=0, out=other, mode="clip")
+        return made
+
+
+_ONES = np.ones(CLASSES, dtype=np.float32)
+
+
+def own_log_probs(table: np.ndarray, rows: np.ndarray, cls: np.ndarray, weights: Weights | None = None) -> np.ndarray:
+    """Natural logarithm of each token's own class. weights: of this table, where they are at hand."""
+    if weights is None:
+        weights = Weights()
+        weights.set(table)
     out = np.empty(len(cls))
     for i in range(0, len(cls), SLICE):
-        z, c = _scores(table, rows[i : i + SLICE]), cls[i : i + SLICE]
-        own = z[np.arange(len(c)), c]
-        out[i : i + SLICE] = own - np.log(np.exp(z, out=z).sum(1))
+        r, c = rows[i : i + SLICE], cls[i : i + SLICE]
+        w = weights.of(r)
+        own = w[np.arange(len(c)), c]
+        low = np.flatnonzero(own < LEAST)
+        own[low] = 1
+        out[i : i + SLICE] = np.log(own) - np.log(np.maximum(w @ _ONES, LEAST))
+        if len(low):
+            out[i + low] = class_log_probs(table, r[low])[np.arange(len(low)), c[low]]
     return out
 
 
-def update(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray, rng: np.random.Generator) -> None:
+#: Classes are drawn in two steps, a block of them and one in it, by sums up to each.
+BLOCK = 8
+_BLOCKS = np.repeat(np.tri(CLASSES // BLOCK, dtype=np.float32), BLOCK, axis=1)
+_WITHIN = np.tri(BLOCK, dtype=np.float32)
+
+
+def draw(weights: Weights, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class for each of at most SLICE tokens, with the model's probabilities."""
+    w = weights.of(rows)
+    upto = _BLOCKS @ w.T
+    if len(low := np.flatnonzero(upto[-1] < LEAST)):
+        w[low] = np.exp(_scores(weights.table, rows[low]))
+        upto = _BLOCKS @ w.T
+    left = rng.random(len(rows), dtype=np.float32) * upto[-1]
+    token = np.arange(len(rows))
+    block = (upto[:-1] < left).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+    left -= np.where(block > 0, upto[block - 1, token], 0)
+    upto = _WITHIN @ w.reshape(-1, BLOCK)[token * (CLASSES // BLOCK) + block].T
+    return block * BLOCK + (upto[:-1] < left).view(np.uint8).sum(0, dtype=np.uint8)
+
+
+def update(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray, rng: np.random.Generator, weights: Weights) -> None:
     """One minibatch: drawn less observed counts, scaled by the root of the squares so far."""
-    drawn = np.empty(len(cls), dtype=np.int64)
-    for i in range(0, len(cls), SLICE):
-        z = _scores(table, rows[i : i + SLICE])
-        upto = np.cumsum(np.exp(z, out=z), axis=1)
-        drawn[i : i + SLICE] = np.minimum((upto < rng.random((len(z), 1), dtype=np.float32) * upto[:, -1:]).sum(1), CLASSES - 1)
-    touched = np.concatenate([rows, np.full((len(rows), 1), TABLE - 1)], axis=1)
-    g = np.bincount((touched * CLASSES + drawn[:, None]).ravel(), minlength=table.size) - np.bincount((touched * CLASSES + cls[:, None]).ravel(), minlength=table.size)
-    g = g.reshape(table.shape).astype(np.float32)
+    weights.set(table)
+    drawn = np.concatenate([draw(weights, rows[i : i + SLICE], rng) for i in range(0, len(cls), SLICE)])
+    cells = rows.T * CLASSES
+    g = (np.bincount((cells + drawn).ravel(), minlength=table.size) - np.bincount((cells + cls).ravel(), minlength=table.size)).astype(np.float32)
+    g[-CLASSES:] = np.bincount(drawn, minlength=CLASSES) - np.bincount(cls, minlength=CLASSES)
+    g = g.reshape(table.shape)
     power += g * g
-    table -= RATE * g / np.sqrt(power)
-    seen += np.bincount(touched.ravel(), minlength=TABLE)
+    g *= RATE
+    g /= np.sqrt(power)
+    table -= g
+    seen += np.bincount(rows.T.ravel(), minlength=TABLE)
+    seen[-1] += len(cls)
 
 
 def word_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -120,24 +283,26 @@ def word_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     a bounded number of words before it hands them on."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: tuple[Counter, Counter] = (Counter(), Counter())
-        docs_of = [0, 0]
+        made: list[pa.Table] = []
+        docs_of = np.zeros(2, dtype=np.int64)
 
-        def rows() -> pa.RecordBatch:
-            words = list({**both[0], **both[1]})
-            made = arrow({"word": ([None, *words], pa.binary()), "c": ([docs_of[0], *map(both[0].__getitem__, words)], pa.int64()), "every": ([sum(docs_of), *(both[0][w] + both[1][w] for w in words)], pa.int64())})
-            for c in both:
-                c.clear()
-            docs_of[:] = 0, 0
-            return made
+        def merged() -> pa.Table:
+            return pa.concat_tables(made).group_by("word", use_threads=False).aggregate([("c", "sum"), ("every", "sum")]).select(["word", "c_sum", "every_sum"]).rename_columns(["word", "c", "every"])
 
         for batch in batches:
-            for held, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                both[held].update(t.as_py().lower().split())
-                docs_of[held] += 1
-                if len(both[0]) + len(both[1]) > 300_000:
-                    yield rows()
-        yield rows()
+            for at, some in tokens(batch.column(1)):
+                held = batch.column(0)[at].to_numpy()
+                docs_of += np.bincount(held, minlength=2)
+                which, words = distinct_words(some.words)
+                every = np.bincount(which, minlength=len(words))
+                c = every - np.bincount(which[np.repeat(held, some.counts) == 1], minlength=len(words))
+                made.append(pa.table({"word": words, "c": pa.array(c, pa.int64()), "every": pa.array(every, pa.int64())}))
+                if sum(t.num_rows for t in made) > 600_000:
+                    made = [merged()]
+                    if made[0].num_rows > 300_000:
+                        yield from made.pop().to_batches()
+        made.append(pa.table({"word": pa.array([None], pa.binary()), "c": docs_of[:1], "every": [docs_of.sum()]}))
+        yield from merged().to_batches()
 
     held = (crc_mod(id_col, MOD) == HELD).cast("int")
     return docs.select(held, text_bytes(text_col)).mapInArrow(count, "word binary, c long, every long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
@@ -155,24 +320,20 @@ def train(docs: DataFrame, text_col: str, id_col: str, prior: np.ndarray) -> np.
     start[-1] = np.log(prior)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table, rng = Memo(_code), start.copy(), np.random.default_rng(SEED)
+        table, rng, weights = start.copy(), np.random.default_rng(SEED), Weights()
         seen, power = np.zeros(TABLE), np.full(table.shape, DAMP, dtype=np.float32)
-        held, n = [], 0
-
-        def step() -> None:
-            rows, cls = features(held)
-            for i in range(0, len(cls), BATCH):
-                update(table, power, seen, rows[i : i + BATCH], cls[i : i + BATCH], rng)
-
+        # a minibatch is filled across batches of rows, so that only a task's last is a short one
+        rows, cls = np.empty((0, FEATURES), dtype=np.int64), np.empty(0, dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                held.append(encoded(t.as_py(), memo)[1])
-                n += len(held[-1])
-                if n >= BATCH:
-                    step()
-                    held, n = [], 0
-        if held:
-            step()
+            for _, some in tokens(batch.column(0)):
+                r, c = laid_out(some.with_ends(word_codes(some.words), 0), some.counts + 1)
+                rows, cls = np.concatenate([rows.T, r.T], axis=1).T, np.concatenate([cls, c])
+                full = len(cls) - len(cls) % BATCH
+                for i in range(0, full, BATCH):
+                    update(table, power, seen, rows[i : i + BATCH], cls[i : i + BATCH], rng, weights)
+                rows, cls = rows[full:], cls[full:]
+        if len(cls):
+            update(table, power, seen, rows, cls, rng, weights)
         moved = (table - start).astype(np.float64) * seen[:, None]
         yield from parts(np.concatenate([moved.ravel(), seen]))
 
@@ -211,7 +372,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             edge = r["every"] + 1
             break
         got, edge = got + r["n"], r["every"]
-    head = {} if not edge else {bytes(r["word"]): r["c"] for r in counts.where(F.col("word").isNotNull() & (F.col("every") >= edge)).select("word", "c").collect()}
+    head = [] if not edge else counts.where(F.col("word").isNotNull() & (F.col("every") >= edge)).select("word", "c").collect()
+    head = pa.array([bytes(r["word"]) for r in head], pa.binary()), np.array([*(r["c"] for r in head), -1], dtype=np.int64)
     prior = (n_of + 1) / (n_of + 1).sum()
     table = train(docs, "text", "doc_id", prior)
     # what the word layer adds to the base: its class's denominator in place of all words'; the end is alone in class 0
@@ -220,43 +382,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent = spark.sparkContext.broadcast((head, table, gain))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, table, gain = sent.value
-        memo = Memo(_code)
+        (head_words, head_counts), table, gain = sent.value
+        weights = Weights()
+        weights.set(table)
         end_log = np.log10((end + 1) / below)
-
-        def rows(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            codes, base, seen, sizes = [], [], [], []
-            tail_words, tail_n, tail_ends = [], [], [0]
-            for t in texts:
-                words, code = encoded(t, memo)
-                codes.append(code)
-                sizes.append(len(code))
-                c = np.fromiter(map(head.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                common = c[c >= 0]
-                base.append(end_log + np.log10((common + 1) / below).sum())
-                seen.append(int(end > 0) + int((common > 0).sum()))
-                rare = Counter(compress(words, (c < 0).tolist()))
-                tail_words += rare
-                tail_n += rare.values()
-                tail_ends.append(len(tail_words))
-            at, cls = features(codes)
-            each = own_log_probs(table, at, cls) / np.log(10) + gain[cls]
-            more = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_n, pa.int64())], names=["word", "n"])
-            tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
-            return arrow({"row": ([r for r, _ in ids], pa.int64()), "doc_id": ([d for _, d in ids], pa.int64()), "n_tokens": (sizes, pa.int64()), "known": (seen, pa.int64()), "base": (base, pa.float64()), "more": (more, pa.float64()), "tail": (tails, tails.type)})
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids.append((r, d))
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size > 1 << 20:
-                    yield rows(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield rows(ids, texts)
+            for at, some in tokens(batch.column(2)):
+                # a piece's distinct words are looked up once; -1: not among the frequent ones
+                which, words = distinct_words(some.words)
+                c = head_counts[pc.fill_null(pc.index_in(words, head_words), -1).to_numpy(zero_copy_only=False)]
+                sizes = some.counts + 1
+                starts = np.cumsum(sizes) - sizes
+                log = np.where(c < 0, 0, np.log10((np.maximum(c, 0) + 1) / below))
+                base = np.add.reduceat(some.with_ends(log[which], end_log), starts)
+                seen = np.add.reduceat(some.with_ends((c > 0).astype(np.int64)[which], int(end > 0)), starts)
+                rows, cls = laid_out(some.with_ends(word_codes(words)[which], 0), sizes)
+                more = np.add.reduceat(own_log_probs(table, rows, cls, weights) / np.log(10) + gain[cls], starts)
+                rare = (c < 0)[which]
+                key, n = np.unique(np.repeat(np.arange(len(sizes)) * max(len(words), 1), some.counts)[rare] + which[rare], return_counts=True)
+                doc, word = np.divmod(key, max(len(words), 1))
+                pairs = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(n, pa.int64())], names=["word", "n"])
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32()), pairs)
+                yield arrow({"row": (batch.column(0)[at], pa.int64()), "doc_id": (batch.column(1)[at], pa.int64()), "n_tokens": (sizes, pa.int64()), "known": (seen, pa.int64()), "base": (base, pa.float64()), "more": (more, pa.float64()), "tail": (tails, tails.type)})
 
     # rows are numbered so that the same id may come again; the numbers are staged with what belongs to them
     made = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes("text")).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, more double, tail array<struct<word:binary,n:bigint>>")
