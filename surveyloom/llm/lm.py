@@ -53,7 +53,7 @@ def encoded(text: bytes, memo: Memo) -> tuple[list[bytes], np.ndarray]:
 
 
 #: Bytes of text whose tokens are held at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), 32]] = True
 #: Step of the crc32 by its lowest byte, and classes by the first two bytes (one byte: the second half's).
